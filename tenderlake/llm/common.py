@@ -14,7 +14,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 U64 = np.uint64
 #: Bytes of text that a kernel works on at once; a longer document is one slice.
@@ -217,6 +217,14 @@ def slices(batch: pa.RecordBatch, text: str, most: int = SLICE_BYTES) -> Iterato
     yield batch.slice(at)
 
 
+TYPES = {"long": T.LongType(), "int": T.IntegerType(), "string": T.StringType(), "binary": T.BinaryType(), "boolean": T.BooleanType(), "double": T.DoubleType(), "strings": T.ArrayType(T.StringType()), "ints": T.ArrayType(T.IntegerType())}
+
+
+def fields(**kinds: str) -> list[T.StructField]:
+    """Fields by short type names, for schemas that are made where no session is at hand."""
+    return [T.StructField(name, TYPES[kind]) for name, kind in kinds.items()]
+
+
 def total_bytes(df: DataFrame, text: str = "text") -> tuple[int, int]:
     """Rows and bytes of text, by one aggregation."""
     row = df.agg(F.count(F.lit(1)), F.sum(F.octet_length(text))).first()

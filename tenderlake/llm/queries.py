@@ -6,25 +6,45 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import small_batches, table
-from .quality_rules import RULES, SYMBOLS, apply_rules
+from . import oracles
+from .common import table
+from .decontaminate import contamination
+from .quality_rules import apply_rules
 from .sharding import stratified_shards
+from .substring_dedup import repeat_digests
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("item_ids")
+
+
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stratified_shards(table(spark, sf_dir, "documents"))
 
 
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeat_digests(table(spark, sf_dir, "documents"))
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = apply_rules(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_stop_words", "n_lines")
 
 
 def queries() -> dict[str, Query]:
-    return {"op6_sharding": op6_sharding, "op10_quality_rules": op10_quality_rules}
+    return {
+        "op3_decontaminate": op3_decontaminate,
+        "op6_sharding": op6_sharding,
+        "op7_substring_dedup": op7_substring_dedup,
+        "op10_quality_rules": op10_quality_rules,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "op3_decontaminate": oracles.DECONTAMINATION,
+        "op7_substring_dedup": oracles.SUBSTRING_DEDUP,
+        "op10_quality_rules": oracles.QUALITY_RULES,
+    }
