@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 #: Rows of a bucket, about; a bucket is sorted in one task.
-BUCKET_ROWS = 20_000
+BUCKET_ROWS = 2_000
 
 
 def _ranked(rows: DataFrame, keys: list[str], bucket: str, order: list[Column]) -> DataFrame:
