@@ -12,6 +12,7 @@ from .decontaminate import contamination
 from .quality_rules import apply_rules
 from .sharding import stratified_shards
 from .substring_dedup import repeat_digests
+from .toxicity import learn as learn_lexicon, scored as score_toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -20,6 +21,11 @@ def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("item_ids")
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return score_toxicity(docs, learn_lexicon(docs, table(spark, sf_dir, "labels")))
+
+
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stratified_shards(table(spark, sf_dir, "documents"))
 
@@ -36,6 +42,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Query]:
     return {
         "op3_decontaminate": op3_decontaminate,
+        "op5_toxicity": op5_toxicity,
         "op6_sharding": op6_sharding,
         "op7_substring_dedup": op7_substring_dedup,
         "op10_quality_rules": op10_quality_rules,
