@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from . import oracles
 from .common import table
 from .decontaminate import contamination
+from .near_dedup import near_duplicates
 from .quality_rules import apply_rules
 from .sharding import stratified_shards
 from .substring_dedup import repeat_digests
@@ -17,6 +18,10 @@ from .toxicity import learn as learn_lexicon, scored as score_toxicity
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op2_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("item_ids")
 
@@ -41,6 +46,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Query]:
     return {
+        "op2_minhash_near_dedup": op2_minhash_near_dedup,
         "op3_decontaminate": op3_decontaminate,
         "op5_toxicity": op5_toxicity,
         "op6_sharding": op6_sharding,
