@@ -13,6 +13,8 @@ from .near_dedup import near_duplicates
 from .quality_rules import apply_rules
 from .sharding import stratified_shards
 from .substring_dedup import repeat_digests
+from .token_counts import length_histogram, with_suffix_sums
+from .token_files import read_token_files, write_token_files
 from .toxicity import learn as learn_lexicon, scored as score_toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -26,6 +28,10 @@ def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("item_ids")
 
 
+def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read_token_files(spark, write_token_files(table(spark, sf_dir, "documents")), with_ids=False)
+
+
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return score_toxicity(docs, learn_lexicon(docs, table(spark, sf_dir, "labels")))
@@ -39,6 +45,10 @@ def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeat_digests(table(spark, sf_dir, "documents"))
 
 
+def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return with_suffix_sums(length_histogram(table(spark, sf_dir, "documents")))
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = apply_rules(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_stop_words", "n_lines")
@@ -48,9 +58,11 @@ def queries() -> dict[str, Query]:
     return {
         "op2_minhash_near_dedup": op2_minhash_near_dedup,
         "op3_decontaminate": op3_decontaminate,
+        "op4_token_files": op4_token_files,
         "op5_toxicity": op5_toxicity,
         "op6_sharding": op6_sharding,
         "op7_substring_dedup": op7_substring_dedup,
+        "op9_token_counts": op9_token_counts,
         "op10_quality_rules": op10_quality_rules,
     }
 
