@@ -64,8 +64,19 @@ def shingle_counts(texts: Texts, shingle: int = SHINGLE) -> tuple[np.ndarray, np
     return tuple(np.concatenate(x) for x in out) if out[0] else (np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int64))
 
 
+#: Points that are made at once, about.
+POINTS = 600_000
+
+
 def bag_minhash(doc: np.ndarray, element: np.ndarray, weight: np.ndarray, n_docs: int, m: int) -> np.ndarray:
-    """Signatures, n_docs by m, of weighted sets; documents without elements have zeros."""
+    """Signatures, n_docs by m, of weighted sets in the order of documents; those without elements have zeros."""
+    step = max(16, int(POINTS / (m * (np.log(m) + 6))))
+    cuts = np.searchsorted(doc, np.arange(0, n_docs + step, step))
+    parts = [_bag_minhash(doc[a:b] - k * step, element[a:b], weight[a:b], min(step, n_docs - k * step), m) for k, (a, b) in enumerate(zip(cuts[:-1], cuts[1:])) if k * step < n_docs]
+    return np.concatenate(parts) if parts else np.zeros((0, m), np.uint32)
+
+
+def _bag_minhash(doc: np.ndarray, element: np.ndarray, weight: np.ndarray, n_docs: int, m: int) -> np.ndarray:
     out = np.zeros((n_docs, m), np.uint32)
     total = np.bincount(doc, weights=weight, minlength=n_docs)
     # one entry for each weight interval that an element reaches: [0, 1), [1, 2), [2, 4) ...
