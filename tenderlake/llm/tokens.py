@@ -72,17 +72,15 @@ def pretoken_starts(points: np.ndarray, classes: np.ndarray, first: np.ndarray)
     return starts
 
 
-class Encoder:
-    """Ids of texts; remembers pre-tokens in a direct-mapped table that drops nothing but old entries."""
+class WordCache:
+    """Ids of texts put together from the ids of their words, each of which is encoded once.
 
-    def __init__(self, path: str):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+    A direct-mapped table from word hashes to places in a pool of ids; a collision only
+    replaces an older entry, and a full pool starts anew. Subclasses cut texts into words
+    that are independent of each other, and encode distinct words.
+    """
 
-        self.library = Tokenizer.from_file(path)
-        self.library.encode_special_tokens = True  # their strings in a text are ordinary text
-        self.classes = _classes()
-        self.values = np.random.default_rng(5).integers(0, 1 << 63, LIMIT, dtype=np.uint64) * U64(2) + U64(1)
+    def __init__(self) -> None:
         self._forget()
 
     def _forget(self) -> None:
@@ -91,76 +89,40 @@ class Encoder:
         self.pool = np.zeros(_POOL, np.uint32)
         self.used = 0
 
-    def _ids(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids and counts of distinct pre-tokens; those that a space starts are encoded in one go."""
-        counts = np.zeros(len(words), np.int64)
-        parts: list[np.ndarray | None] = [None] * len(words)
-        plain = [i for i, w in enumerate(words) if len(w) > 1 and w[0] == " " and self.classes[ord(w[1])] != SPACE]
-        for low in range(0, len(plain), 2000):
-            some = plain[low : low + 2000]
-            got = self.library.encode("".join(words[i] for i in some), add_special_tokens=False)
-            ids = np.array(got.ids, np.uint32)
-            cuts = np.searchsorted(np.array(got.word_ids), np.arange(len(some) + 1))
-            for i, a, b in zip(some, cuts[:-1], cuts[1:]):
-                parts[i] = ids[a:b]
-        rest = [i for i, p in enumerate(parts) if p is None]
-        for i, got in zip(rest, self.library.encode_batch([words[i] for i in rest], add_special_tokens=False)):
-            parts[i] = np.array(got.ids, np.uint32)
-        counts = np.array([len(p) for p in parts], np.int64)
-        return np.concatenate(parts) if parts else np.zeros(0, np.uint32), counts
+    def values(self, points: np.ndarray) -> np.ndarray:
+        """A 64-bit number for each code point."""
+        raise NotImplementedError
 
-    def encode(self, texts: Texts) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all texts in a row, and how many each has."""
-        strings = texts.data.tobytes().decode()
-        points = np.frombuffer(strings.encode("utf-32-le"), np.uint32)
-        # starts of texts in code points: bytes that begin a character
-        begins = np.concatenate([[0], np.cumsum((texts.data & 0xC0) != 0x80)])
-        doc = begins[texts.offsets]
-        counts = np.zeros(len(texts), np.int64)
-        if not len(points):
-            return np.zeros(0, np.uint32), counts
-        rare = np.unique(np.searchsorted(doc, np.flatnonzero(points >= LIMIT), "right") - 1)
-        if len(rare):
-            return self._mixed(strings, points, doc, rare)
-        return self._known(strings, points, doc)
+    def cuts(self, points: np.ndarray, first: np.ndarray) -> np.ndarray:
+        """Where words start; first marks the starts of texts."""
+        raise NotImplementedError
 
-    def _mixed(self, strings: str, points: np.ndarray, doc: np.ndarray, rare: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        parts, counts, at = [], [], 0
-        for i in [*rare.tolist(), len(doc) - 1]:
-            if i > at:
-                ids, n = self._known(strings[doc[at] : doc[i]], points[doc[at] : doc[i]], doc[at : i + 1] - doc[at])
-                parts.append(ids)
-                counts.append(n)
-            if i < len(doc) - 1:
-                ids = np.array(self.library.encode(strings[doc[i] : doc[i + 1]], add_special_tokens=False).ids, np.uint32)
-                parts.append(ids)
-                counts.append(np.array([len(ids)]))
-            at = i + 1
-        return np.concatenate(parts), np.concatenate(counts)
+    def word_ids(self, source, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids and counts of distinct words of the source."""
+        raise NotImplementedError
 
-    def _known(self, strings: str, points: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        counts = np.zeros(len(doc) - 1, np.int64)
+    def known(self, source, points: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of texts from doc[i] to doc[i + 1] - 1, and how many each has."""
         if not len(points):
-            return np.zeros(0, np.uint32), counts
+            return np.zeros(0, np.uint32), np.zeros(len(doc) - 1, np.int64)
         first = np.zeros(len(points), bool)
         first[doc[:-1][doc[:-1] < len(points)]] = True
-        starts = np.flatnonzero(pretoken_starts(points, self.classes, first))
+        starts = np.flatnonzero(self.cuts(points, first))
         ends = np.append(starts[1:], len(points))
         hashes = self._hash(points, starts, ends)
         slot = (hashes & U64(_SLOTS - 1)).astype(np.int64)
-        known = self.hashes[slot] == hashes
         place = self.place[slot]
-        lost = np.flatnonzero(~known)
+        lost = np.flatnonzero(self.hashes[slot] != hashes)
         if len(lost):
             by = lost[np.argsort(hashes[lost], kind="stable")]
             heads = np.flatnonzero(np.diff(hashes[by], prepend=~hashes[by[:1]]))
             new = by[heads]
-            ids, sizes = self._ids([strings[a:b] for a, b in zip(starts[new], ends[new])])
+            ids, sizes = self.word_ids(source, starts[new], ends[new])
             if self.used + len(ids) > len(self.pool):
                 self._forget()
                 if len(ids) > len(self.pool) // 2:
                     self.pool = np.zeros(4 * len(ids), np.uint32)
-                return self._known(strings, points, doc)
+                return self.known(source, points, doc)
             where = self.used + np.cumsum(sizes) - sizes
             self.pool[self.used : self.used + len(ids)] = ids
             self.used += len(ids)
@@ -183,13 +145,74 @@ class Encoder:
             high = ends[to - 1]
             up, down = _power_table(high - low + 1)
             sums = np.zeros(high - low + 1, np.uint64)
-            np.cumsum(self.values[points[low:high]] * up[: high - low], out=sums[1:])
+            np.cumsum(self.values(points[low:high]) * up[: high - low], out=sums[1:])
             s, e = starts[at:to] - low, ends[at:to] - low
             out[at:to] = mix((sums[e] - sums[s]) * down[s] + (e - s).astype(np.uint64) * _GRAM[0]) | U64(1)
             at = to
         return out
 
 
+def code_points(texts: Texts) -> tuple[str, np.ndarray, np.ndarray]:
+    """All texts as one string, its code points, and where texts start in them."""
+    strings = texts.data.tobytes().decode()
+    begins = np.concatenate([[0], np.cumsum((texts.data & 0xC0) != 0x80)])
+    return strings, np.frombuffer(strings.encode("utf-32-le"), np.uint32), begins[texts.offsets]
+
+
+class Encoder(WordCache):
+    """Ids of texts by a byte-level BPE vocabulary."""
+
+    def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer
+
+        self.library = Tokenizer.from_file(path)
+        self.library.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.classes = _classes()
+        self.numbers = np.random.default_rng(5).integers(0, 1 << 63, LIMIT, dtype=np.uint64) * U64(2) + U64(1)
+        super().__init__()
+
+    def values(self, points: np.ndarray) -> np.ndarray:
+        return self.numbers[points]
+
+    def cuts(self, points: np.ndarray, first: np.ndarray) -> np.ndarray:
+        return pretoken_starts(points, self.classes, first)
+
+    def word_ids(self, source: str, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Pre-tokens that a space starts are encoded many in one go, others one by one."""
+        words = [source[a:b] for a, b in zip(starts, ends)]
+        parts: list[np.ndarray | None] = [None] * len(words)
+        plain = [i for i, w in enumerate(words) if len(w) > 1 and w[0] == " " and self.classes[ord(w[1])] != SPACE]
+        for low in range(0, len(plain), 2000):
+            some = plain[low : low + 2000]
+            got = self.library.encode("".join(words[i] for i in some), add_special_tokens=False)
+            ids = np.array(got.ids, np.uint32)
+            cuts = np.searchsorted(np.array(got.word_ids), np.arange(len(some) + 1))
+            for i, a, b in zip(some, cuts[:-1], cuts[1:]):
+                parts[i] = ids[a:b]
+        rest = [i for i, p in enumerate(parts) if p is None]
+        for i, got in zip(rest, self.library.encode_batch([words[i] for i in rest], add_special_tokens=False)):
+            parts[i] = np.array(got.ids, np.uint32)
+        return np.concatenate(parts) if parts else np.zeros(0, np.uint32), np.array([len(p) for p in parts], np.int64)
+
+    def encode(self, texts: Texts) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts in a row, and how many each has."""
+        strings, points, doc = code_points(texts)
+        rare = np.unique(np.searchsorted(doc, np.flatnonzero(points >= LIMIT), "right") - 1)
+        parts, counts, at = [np.zeros(0, np.uint32)], [np.zeros(0, np.int64)], 0
+        for i in [*rare.tolist(), len(doc) - 1]:
+            if i > at:
+                ids, n = self.known(strings[doc[at] : doc[i]], points[doc[at] : doc[i]], doc[at : i + 1] - doc[at])
+                parts.append(ids)
+                counts.append(n)
+            if i < len(doc) - 1:
+                ids = np.array(self.library.encode(strings[doc[i] : doc[i + 1]], add_special_tokens=False).ids, np.uint32)
+                parts.append(ids)
+                counts.append(np.array([len(ids)]))
+            at = i + 1
+        return np.concatenate(parts), np.concatenate(counts)
+
+
 _encoders: dict[str, Encoder] = {}
 
 
