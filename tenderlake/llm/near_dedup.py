@@ -220,8 +220,8 @@ def star_pairs(members: DataFrame) -> DataFrame:
     return ranked.join(centres, ["band", "bucket"]).where("a <> id").select("a", F.col("id").alias("b")).distinct()
 
 
-#: Components of the sharper signature for pairs that stars left open, in 16 bits each.
-SHARP = 256
+#: Components of the sharper signature for pairs that stars left open, in 8 bits each.
+SHARP = 1024
 #: Members of a block; larger buckets are compared block by block in tasks of their own.
 BLOCK = 2000
 
@@ -231,7 +231,7 @@ def _sharp(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(whole, "text"):
             texts = Texts(batch.column(1))
             found = shingle_counts(texts)
-            signature = bag_minhash(*found, len(texts), SHARP).astype(np.uint16)
+            signature = bag_minhash(*found, len(texts), SHARP).astype(np.uint8)
             bands = bag_minhash(*found, len(texts), BANDS * ROWS).astype(np.uint64)
             keys = gram_hashes(bands.reshape(-1), ROWS)[::ROWS].reshape(len(texts), BANDS)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([k.tobytes() for k in keys], pa.binary()), pa.array([x.tobytes() for x in signature], pa.binary())], ["id", "keys", "sharp"])
@@ -246,7 +246,7 @@ def _compare(least: int):
             ids, block = rows.column("id").to_numpy(), rows.column("block").to_numpy()
             i, j, band = (rows.column(c)[0].as_py() for c in ("i", "j", "band"))
             keys = np.frombuffer(b"".join(rows.column("keys").to_pylist()), np.uint64).reshape(len(ids), -1)
-            sharp = np.frombuffer(b"".join(rows.column("sharp").to_pylist()), np.uint16).reshape(len(ids), -1)
+            sharp = np.frombuffer(b"".join(rows.column("sharp").to_pylist()), np.uint8).reshape(len(ids), -1)
             order = np.argsort(block, kind="stable")
             ids, part, keys, sharp, block = ids[order], part[order], keys[order], sharp[order], block[order]
             cut = len(ids) if i == j else int(np.searchsorted(block, j))
