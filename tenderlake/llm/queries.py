@@ -10,7 +10,9 @@ from . import oracles
 from .common import table
 from .decontaminate import contamination
 from .near_dedup import near_duplicates
+from .quality_classifier import quality_scores
 from .quality_rules import apply_rules
+from .sentencepiece_codec import round_trips
 from .sharding import stratified_shards
 from .substring_dedup import repeat_digests
 from .token_counts import length_histogram, with_suffix_sums
@@ -20,6 +22,10 @@ from .toxicity import learn as learn_lexicon, scored as score_toxicity
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op2_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -45,6 +51,10 @@ def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeat_digests(table(spark, sf_dir, "documents"))
 
 
+def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return round_trips(table(spark, sf_dir, "documents"))
+
+
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return with_suffix_sums(length_histogram(table(spark, sf_dir, "documents")))
 
@@ -56,12 +66,14 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Query]:
     return {
+        "op1_quality_classifier": op1_quality_classifier,
         "op2_minhash_near_dedup": op2_minhash_near_dedup,
         "op3_decontaminate": op3_decontaminate,
         "op4_token_files": op4_token_files,
         "op5_toxicity": op5_toxicity,
         "op6_sharding": op6_sharding,
         "op7_substring_dedup": op7_substring_dedup,
+        "op8_sentencepiece": op8_sentencepiece,
         "op9_token_counts": op9_token_counts,
         "op10_quality_rules": op10_quality_rules,
     }
