@@ -258,9 +258,10 @@ class PieceModel(WordCache):
             piece[:, end] = np.where(found[rows, pick] == NONE, UNKNOWN, found[rows, pick])
         return length, piece, tied
 
-    def word_ids(self, source: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def word_ids(self, source: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         sizes = ends - starts
-        parts: list[np.ndarray] = [np.zeros(0, np.uint32)] * len(starts)
+        parts: list[np.ndarray] = []
+        where, counted, used = np.zeros(len(starts), np.int64), np.zeros(len(starts), np.int64), 0
         for n in np.unique(sizes):
             group = np.flatnonzero(sizes == n)
             for low in range(0, len(group), max(1, 200_000 // int(n))):
@@ -290,13 +291,16 @@ class PieceModel(WordCache):
                 places = np.cumsum(counts) - counts
                 for i, x in spelt.items():
                     flat[places[i] : places[i] + len(x)] = x
-                cuts = np.concatenate([[0], np.cumsum(np.bincount(who, weights=counts, minlength=len(some)).astype(np.int64))])
-                for w, a, b in zip(some, cuts[:-1], cuts[1:]):
-                    parts[w] = flat[a:b]
-                for row in np.flatnonzero(tied):
-                    symbols = self.merged(words[row].astype(np.uint32).tobytes().decode("utf-32-le"))
-                    parts[some[row]] = np.concatenate([[self.ids[self.rank[x]]] if x in self.rank else self.byte_ids[np.frombuffer(x.encode(), np.uint8)] for x in symbols])
-        return np.concatenate(parts).astype(np.uint32) if parts else np.zeros(0, np.uint32), np.array([len(p) for p in parts], np.int64)
+                counted[some] = np.bincount(who, weights=counts, minlength=len(some)).astype(np.int64)
+                where[some] = used + np.cumsum(counted[some]) - counted[some]
+                parts.append(flat)
+                used += len(flat)
+                for row in some[np.flatnonzero(tied)]:
+                    symbols = self.merged(source[starts[row] : ends[row]].tobytes().decode("utf-32-le"))
+                    parts.append(np.concatenate([[self.ids[self.rank[x]]] if x in self.rank else self.byte_ids[np.frombuffer(x.encode(), np.uint8)] for x in symbols]))
+                    where[row], counted[row] = used, len(parts[-1])
+                    used += len(parts[-1])
+        return np.concatenate(parts).astype(np.uint32), where, counted
 
     def encode(self, texts: Texts) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts in a row, and how many each has."""

@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F, types as T
 
 from . import simple8b
-from .common import Texts, fields, new_path, slices, small_batches, total_bytes
+from .common import BROADCAST_BYTES, Texts, fields, new_path, slices, small_batches, total_bytes
 from .tokens import encoder, vocabulary_path
 
 CHUNK_BYTES = 1 << 20
@@ -97,6 +97,8 @@ def read_token_files(spark: SparkSession, path: str, key: str = "doc_id", with_i
     totals = chunks.groupBy("part").agg(F.sum("n_ids").alias("_n"))
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     starts = totals.select("part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
-    placed = chunks.join(starts, "part").select((F.col("_start") + F.col("before")).alias("base"), "n_ids", "keys", "counts", "words", "offsets")
+    # one short row per part: sent to all tasks unless there are too many
+    few = (totals.count() or 1) * 32 <= BROADCAST_BYTES
+    placed = chunks.join(F.broadcast(starts) if few else starts, "part").select((F.col("_start") + F.col("before")).alias("base"), "n_ids", "keys", "counts", "words", "offsets")
     out = fields(key="long", start="long", n_tokens="long", ids_crc32="long", **({"ids": "binary"} if with_ids else {}))
     return placed.mapInArrow(_decode if with_ids else _digest, T.StructType(out)).withColumnRenamed("key", key)

@@ -23,7 +23,7 @@ LETTER, NUMBER, SPACE, OTHER = 1, 2, 3, 0
 #: White space below LIMIT.
 BLANKS = [*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F]
 _SLOTS = 1 << 20
-_POOL = 1 << 22
+_POOL = 1 << 23
 
 
 def vocabulary_path(name: str = VOCABULARY) -> str:
@@ -97,8 +97,8 @@ class WordCache:
         """Where words start; first marks the starts of texts."""
         raise NotImplementedError
 
-    def word_ids(self, source, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Ids and counts of distinct words of the source."""
+    def word_ids(self, source, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of distinct words of the source, where each word's ids start, and how many it has."""
         raise NotImplementedError
 
     def known(self, source, points: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -117,16 +117,15 @@ class WordCache:
             by = lost[np.argsort(hashes[lost], kind="stable")]
             heads = np.flatnonzero(np.diff(hashes[by], prepend=~hashes[by[:1]]))
             new = by[heads]
-            ids, sizes = self.word_ids(source, starts[new], ends[new])
+            ids, where, sizes = self.word_ids(source, starts[new], ends[new])
             if self.used + len(ids) > len(self.pool):
                 self._forget()
                 if len(ids) > len(self.pool) // 2:
                     self.pool = np.zeros(4 * len(ids), np.uint32)
                 return self.known(source, points, doc)
-            where = self.used + np.cumsum(sizes) - sizes
             self.pool[self.used : self.used + len(ids)] = ids
+            packed = (self.used + where) << 24 | sizes
             self.used += len(ids)
-            packed = where << 24 | sizes
             place[by] = np.repeat(packed, np.diff(np.append(heads, len(by))))
             self.hashes[slot[new]] = hashes[new]
             self.place[slot[new]] = packed
@@ -169,6 +168,8 @@ class Encoder(WordCache):
         self.library = Tokenizer.from_file(path)
         self.library.encode_special_tokens = True  # their strings in a text are ordinary text
         self.classes = _classes()
+        # a piece is spelt with one character per byte
+        self.bytes = np.array([len(self.library.id_to_token(i) or "") for i in range(self.library.get_vocab_size())], np.int64)
         self.numbers = np.random.default_rng(5).integers(0, 1 << 63, LIMIT, dtype=np.uint64) * U64(2) + U64(1)
         super().__init__()
 
@@ -178,22 +179,23 @@ class Encoder(WordCache):
     def cuts(self, points: np.ndarray, first: np.ndarray) -> np.ndarray:
         return pretoken_starts(points, self.classes, first)
 
-    def word_ids(self, source: str, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Pre-tokens that a space starts are encoded many in one go, others one by one."""
+    def word_ids(self, source: str, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Pre-tokens that a space starts are encoded many in one go, and told apart by their bytes; others one by one."""
         words = [source[a:b] for a, b in zip(starts, ends)]
-        parts: list[np.ndarray | None] = [None] * len(words)
-        plain = [i for i, w in enumerate(words) if len(w) > 1 and w[0] == " " and self.classes[ord(w[1])] != SPACE]
-        for low in range(0, len(plain), 2000):
-            some = plain[low : low + 2000]
-            got = self.library.encode("".join(words[i] for i in some), add_special_tokens=False)
-            ids = np.array(got.ids, np.uint32)
-            cuts = np.searchsorted(np.array(got.word_ids), np.arange(len(some) + 1))
-            for i, a, b in zip(some, cuts[:-1], cuts[1:]):
-                parts[i] = ids[a:b]
-        rest = [i for i, p in enumerate(parts) if p is None]
-        for i, got in zip(rest, self.library.encode_batch([words[i] for i in rest], add_special_tokens=False)):
-            parts[i] = np.array(got.ids, np.uint32)
-        return np.concatenate(parts) if parts else np.zeros(0, np.uint32), np.array([len(p) for p in parts], np.int64)
+        plain = [len(w) > 1 and w[0] == " " and self.classes[ord(w[1])] != SPACE for w in words]
+        joined, rest = np.flatnonzero(plain), np.flatnonzero(~np.array(plain, bool))
+        runs = ["".join([words[i] for i in joined[low : low + 2000]]) for low in range(0, len(joined), 2000)]
+        parts = [np.array(got.ids, np.uint32) for got in self.library.encode_batch_fast(runs, add_special_tokens=False)]
+        ids = np.concatenate(parts) if parts else np.zeros(0, np.uint32)
+        cuts = np.searchsorted(np.cumsum(self.bytes[ids]), np.cumsum([len(words[i].encode()) for i in joined])) + 1
+        singles = [got.ids for got in self.library.encode_batch_fast([words[i] for i in rest], add_special_tokens=False)]
+        sizes = np.zeros(len(words), np.int64)
+        sizes[joined] = np.diff(cuts, prepend=0)
+        sizes[rest] = [len(x) for x in singles]
+        where = np.zeros(len(words), np.int64)
+        where[joined] = np.cumsum(sizes[joined]) - sizes[joined]
+        where[rest] = len(ids) + np.cumsum(sizes[rest]) - sizes[rest]
+        return np.concatenate([ids, np.array([i for x in singles for i in x], np.uint32)]), where, sizes
 
     def encode(self, texts: Texts) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts in a row, and how many each has."""
