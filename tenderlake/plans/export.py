@@ -1,0 +1,154 @@
+"""The compliance matrix and its views, as DataFrames and as files."""
+
+from __future__ import annotations
+
+import html
+import importlib.util
+
+from pyspark.sql import Column, DataFrame, functions as F
+
+from ..functions.text import collapse
+from ..operators.outline import CRITERIA, POST_AWARD, UNASSIGNED
+
+# What exports call verdicts, gaps and columns.
+NOT_JUDGED = "NOT JUDGED"
+VERDICT_LABELS = {"fully_compliant": "Fully Compliant", "partially_compliant": "Partially Compliant", "non_compliant": "Non-Compliant", "unknown": "Unknown (judge declined)"}
+GAP_LABELS = {"mapped": "Mapped", "l_without_m": "GAP: L without M", "m_without_l": "GAP: M without L", "sow_without_either": "GAP: SOW without L or M", "evaluation_process": "Evaluation mechanics (not a gap)"}
+GAP_ORDER = {"m_without_l": 0, "l_without_m": 1, "sow_without_either": 2, "mapped": 3}
+HEADERS = {
+    "requirement_id": "Requirement ID",
+    "label": "Label",
+    "document": "Document",
+    "section": "Section",
+    "page": "Page",
+    "type": "Type",
+    "keyword": "Keyword",
+    "verbatim": "Requirement (verbatim)",
+    "obligation": "Atomic Obligation",
+    "proposal_location": "Proposal Location",
+    "cross_map": "Cross-Map",
+    "compliance": "Compliance",
+    "confidence": "Confidence",
+    "rationale": "Rationale",
+    "grounded": "Grounded",
+}
+#: Rows of the showcase, and which outcomes come first there.
+SHOWCASE_ROWS = 18
+SHOWCASE_ORDER = {"Non-Compliant": 0, "Partially Compliant": 1, "Fully Compliant": 2, "Unknown (judge declined)": 3}
+
+
+def label(key: Column, names: dict[str, str], default: Column) -> Column:
+    out = default
+    for k, v in names.items():
+        out = F.when(key == k, v).otherwise(out)
+    return out
+
+
+def _joined(requirements: DataFrame, placements: DataFrame, outline: DataFrame, judgments: DataFrame) -> DataFrame:
+    """requirements with node_id, the node's title and their verdict; all joins keep all requirements."""
+    titles = outline.select("node_id", F.col("title").alias("_title"))
+    verdicts = judgments.select("requirement_id", "verdict", F.col("confidence").alias("_confidence"), F.col("rationale").alias("_rationale"))
+    return requirements.join(placements, "requirement_id", "left").join(F.broadcast(titles), "node_id", "left").join(verdicts, "requirement_id", "left")
+
+
+def _compliance() -> Column:
+    return F.when(F.col("verdict").isNull(), NOT_JUDGED).otherwise(label(F.col("verdict"), VERDICT_LABELS, F.col("verdict")))
+
+
+def matrix_rows(requirements: DataFrame, mappings: DataFrame, judgments: DataFrame, placements: DataFrame, outline: DataFrame) -> DataFrame:
+    """The fifteen columns of the matrix, and req_ord."""
+    rows = _joined(requirements, placements, outline, judgments).join(mappings.select("requirement_id", "gap_kind"), "requirement_id", "left")
+    blank = F.lit("")
+    return rows.select(
+        "req_ord", "requirement_id", F.col("display_label").alias("label"), F.col("filename").alias("document"), F.coalesce("section_label", blank).alias("section"), "page", F.col("req_type").alias("type"), F.col("binding_keyword").alias("keyword"),
+        collapse(F.col("verbatim_text")).alias("verbatim"), F.col("atomic_obligation").alias("obligation"), F.coalesce("_title", "node_id", blank).alias("proposal_location"), label(F.col("gap_kind"), GAP_LABELS, blank).alias("cross_map"),
+        _compliance().alias("compliance"), F.coalesce("_confidence", blank).alias("confidence"), F.coalesce("_rationale", blank).alias("rationale"), F.when(F.col("verified"), "yes").otherwise("NO — ungrounded").alias("grounded"),
+    )
+
+
+def cross_reference(requirements: DataFrame, mappings: DataFrame, most: int = 5) -> DataFrame:
+    """Dispositions, gaps first: gap_rank, then requirement_id, is their order."""
+    rank = F.lit(9)
+    for kind, n in GAP_ORDER.items():
+        rank = F.when(F.col("gap_kind") == kind, n).otherwise(rank)
+    rows = mappings.join(requirements.select("requirement_id", "section_label", "req_type", "atomic_obligation"), "requirement_id", "left")
+    return rows.select(
+        rank.alias("gap_rank"), "requirement_id", F.coalesce("section_label", F.lit("")).alias("section"), F.coalesce("req_type", F.lit("")).alias("type"), label(F.col("gap_kind"), GAP_LABELS, F.col("gap_kind")).alias("disposition"),
+        F.array_join(F.slice("counterpart_ids", 1, most), ", ").alias("counterparts"), F.round("score", 1).alias("match_score"), F.coalesce("atomic_obligation", F.lit("")).alias("obligation"), "rationale",
+    )
+
+
+def checklist(requirements: DataFrame, mappings: DataFrame, judgments: DataFrame, placements: DataFrame, outline: DataFrame) -> DataFrame:
+    """Rows that need a response: all but duties after award and evaluation criteria."""
+    rows = _joined(requirements, placements, outline, judgments).where(F.col("node_id").isNull() | ~F.col("node_id").isin(POST_AWARD, CRITERIA))
+    return rows.select("req_ord", "requirement_id", F.coalesce("_title", "node_id", F.lit("")).alias("proposal_location"), "page", F.col("binding_keyword").alias("keyword"), F.col("atomic_obligation").alias("obligation"), _compliance().alias("compliance"))
+
+
+def showcase_rows(requirements: DataFrame, judgments: DataFrame, most: int = SHOWCASE_ROWS) -> DataFrame:
+    """The first rows by outcome, then label: a top-k."""
+    rows = requirements.join(judgments.select("requirement_id", "verdict", F.col("rationale").alias("why")), "requirement_id", "left").withColumn("compliance", _compliance())
+    rank = F.lit(4)
+    for name, n in SHOWCASE_ORDER.items():
+        rank = F.when(F.col("compliance") == name, n).otherwise(rank)
+    return rows.orderBy(rank, "display_label").limit(most)
+
+
+def write_csv(rows: DataFrame, path: str) -> None:
+    """The matrix as one CSV folder, with headers, in order."""
+    ordered = rows.orderBy("req_ord").select(*[F.col(c).alias(h) for c, h in HEADERS.items()])
+    ordered.coalesce(1).write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
+
+
+def write_json(df: DataFrame, path: str) -> None:
+    df.write.mode("overwrite").option("ignoreNullFields", False).json(path)
+
+
+def write_workbook(path: str, package: str, banner: str, matrix: DataFrame, reference: DataFrame, todo: DataFrame) -> bool:
+    """Three sheets, where xlsxwriter is installed; False where it is not.
+
+    A workbook is made on the driver: it is a package's report, a few thousand rows.
+    """
+    if importlib.util.find_spec("xlsxwriter") is None:
+        return False
+    import xlsxwriter
+
+    book = xlsxwriter.Workbook(path)
+    bold, plain = book.add_format({"bold": True, "text_wrap": True}), book.add_format({"text_wrap": True, "valign": "top"})
+    sheets = (
+        ("Compliance Matrix", f"Compliance Matrix — {package}", banner, list(HEADERS.values()), matrix.orderBy("req_ord").select(*HEADERS)),
+        ("Cross-Reference", "L / M / SOW Cross-Reference and Gaps", "Gaps rest on factors, actors and similarity.", ["Requirement ID", "Section", "Type", "Disposition", "Counterparts", "Match Score", "Obligation", "Rationale"], reference.orderBy("gap_rank", "requirement_id").drop("gap_rank")),
+        ("Shred Checklist", "Shred Checklist — rows requiring a proposal response", banner, ["Requirement ID", "Proposal Location", "Page", "Keyword", "Obligation", "Compliance", "Status", "Owner", "Notes"], todo.orderBy("req_ord").drop("req_ord")),
+    )
+    for name, title, note, headers, rows in sheets:
+        sheet = book.add_worksheet(name)
+        sheet.write(0, 0, title, bold)
+        sheet.write(1, 0, note, plain)
+        sheet.write_row(3, 0, headers, bold)
+        n = 0
+        for n, row in enumerate(rows.toLocalIterator(), 1):
+            sheet.write_row(3 + n, 0, ["" if v is None else v for v in row], plain)
+        sheet.freeze_panes(4, 0)
+        sheet.autofilter(3, 0, 3 + n, len(headers) - 1)
+    book.close()
+    return True
+
+
+def showcase_counts(requirements: DataFrame, judgments: DataFrame, placements: DataFrame, outline: DataFrame) -> DataFrame:
+    """One row of the figures that a showcase page gives."""
+    rows = requirements.join(judgments.select("requirement_id", "verdict"), "requirement_id", "left").join(placements, "requirement_id", "left")
+    verdicts = {v: F.count_if(F.col("verdict") == v).alias(v) for v in VERDICT_LABELS}
+    return rows.agg(
+        F.count(F.lit(1)).alias("total"), F.count_if("verified").alias("grounded"), F.countDistinct("filename").alias("files"), F.countDistinct("section_label").alias("sections"), *verdicts.values(),
+        F.count_if(~F.coalesce("node_id", F.lit(UNASSIGNED)).isin(POST_AWARD, CRITERIA, UNASSIGNED)).alias("written"),
+    )
+
+
+def showcase_html(package: str, counts, rows: list) -> str:
+    """A static page: figures, and the first rows."""
+    cell = lambda v: f"<td>{html.escape('' if v is None else str(v))}</td>"
+    share = round(100 * counts["grounded"] / counts["total"]) if counts["total"] else 0
+    figures = "".join(f"<li>{html.escape(k.replace('_', ' '))}: {v}</li>" for k, v in counts.asDict().items())
+    body = "".join(f"<tr>{cell(r['display_label'])}{cell(r['compliance'])}{cell(r['verbatim_text'])}{cell(r['why'])}</tr>" for r in rows)
+    return f"<!doctype html><meta charset=utf-8><title>{html.escape(package)}</title><h1>{html.escape(package)}</h1><p>{share} % grounded</p><ul>{figures}</ul><table><tr><th>Label<th>Compliance<th>Requirement<th>Rationale</tr>{body}</table>"
+
+
