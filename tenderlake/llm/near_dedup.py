@@ -195,7 +195,8 @@ EDGES = T.StructType(fields(a="long", b="long"))
 
 
 def linked(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
-    """The pairs (a, b) whose texts overlap enough."""
+    """The pairs (a, b) whose texts overlap enough. Rows hold two texts, so batches are short."""
+    small_batches(pairs.sparkSession, 100)
     left = texts.select(F.col("id").alias("a"), F.col("text").alias("text_a"))
     right = texts.select(F.col("id").alias("b"), F.col("text").alias("text_b"))
     return pairs.join(right, "b").join(left, "a").select("a", "b", "text_a", "text_b").mapInArrow(_verify(threshold), EDGES)
@@ -297,10 +298,12 @@ def near_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", thres
     wanted = reps.join(members.select("id").distinct(), "id", "left_semi").select("id", "fp")
     texts, _ = stored(whole.join(wanted, ["id", "fp"], "left_semi").select("id", "text"), "texts")
     edges, _ = stored(linked(star_pairs(members), texts, threshold), "links")
+    small_batches(docs.sparkSession)
     classes, _ = stored(components(edges), "classes")
     more = open_pairs(members, classes, texts, threshold)
     if more is not None:
         extra, _ = stored(linked(more, texts, threshold), "links")
+        small_batches(docs.sparkSession)
         if extra.limit(1).count():
             # each class shrinks to its id: links between classes join classes
             named = lambda side: extra.join(classes.select(F.col("node").alias(side), F.col("component").alias(f"c{side}")), side, "left").select(*[c for c in extra.columns if c != side], F.coalesce(f"c{side}", side).alias(side))

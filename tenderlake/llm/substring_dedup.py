@@ -34,7 +34,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from .common import NON_SPACE, U64, Texts, fields, mix, small_batches, total_bytes
+from .common import NON_SPACE, U64, Texts, fields, give_back, mix, small_batches, total_bytes
 
 #: Text bytes of a bucket; all buckets of a task are worked on one after another.
 BUCKET_BYTES = 6 << 20
@@ -93,6 +93,7 @@ class Bucket:
         self.room = np.repeat(self.words.doc[1:], lengths) - np.arange(n)
         self.offset = np.arange(n) - np.repeat(self.words.doc[:-1], lengths)
         self.long = np.repeat(lengths, lengths) >= window
+        give_back()
 
     def anchors(self) -> tuple[np.ndarray, np.ndarray]:
         """Positions and hashes of all rolling windows of one block's length."""
