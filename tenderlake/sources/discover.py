@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import os
+import re
+from urllib.parse import unquote
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions.text import file_stem_id
@@ -15,35 +19,44 @@ def discover(spark: SparkSession, package_dir: str, most_bytes: int = MOST_BYTES
     """One row per file of a folder, in path order: file_id, filename, sha256, file_type, kind, parse_status, error, path.
 
     Lengths are listed first, without content; only files within the cap are read and
-    hashed, on the executors. Links that lead out of a local folder are not followed: the
-    reader lists what the folder holds, and rows whose real path lies outside are rejected.
-    Null bytes, empty files and files without an extension are rows like all others.
+    hashed, on the executors. Empty files, which the reader passes over, are added from its
+    list of names. Files whose real path lies outside a local folder are rejected unread.
+    Names that start with a dot or an underscore are hidden from Spark's listings.
     """
-    listed = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(package_dir)
     root = _qualified(spark, package_dir)
+    listed = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(package_dir)
+    seen = {r.path for r in listed.select("path").collect()}
+    names = {unquote(p) for p in listed.inputFiles()}
+    # paths come as file:/x and as file:///x
+    plain = {re.sub(r"^(\w+):/+", r"\1:/", p): p for p in seen}
+    bare = [p for p in names if re.sub(r"^(\w+):/+", r"\1:/", p) not in plain]
+    outside = [p for p in seen if _leads_out(p, root)]
+    extra = spark.createDataFrame([(re.sub(r"^(\w+):/+", r"\1:/", p), 0) for p in bare], "path string, length long")
     name = F.expr(f"substring(path, {len(root) + 2})")
-    rows = listed.select("path", "length", name.alias("filename"))
+    rows = listed.select("path", "length").unionByName(extra).select("path", "length", name.alias("filename"))
     last = F.element_at(F.split("filename", "/"), -1)
     suffix = F.lower(F.regexp_extract(last, r"(?<=.)(\.[^.]*)$", 1))
     stem = F.regexp_replace(last, r"(?<=.)\.[^.]*$", "")
-    small = rows.where(F.col("length") <= most_bytes).select("path")
+    out_of = F.col("path").isin(*outside) if outside else F.lit(False)
+    small = rows.where((F.col("length") <= most_bytes) & ~out_of).select("path")
     hashed = listed.join(small, "path", "left_semi").select("path", F.sha2("content", 256).alias("sha256"))
-    out = rows.join(hashed, "path", "left")
+    out = rows.join(hashed, "path", "left").withColumn("sha256", F.when((F.col("length") == 0) & ~out_of, F.sha2(F.lit(b""), 256)).otherwise(F.col("sha256")))
     kind = F.lit(None).cast("string")
     for end, k in KINDS.items():
         kind = F.when(suffix == f".{end}", k).otherwise(kind)
     big = F.col("length") > most_bytes
     error = (
-        F.when(big, F.concat(F.lit("file size "), F.col("length").cast("string"), F.lit(f" bytes exceeds cap of {most_bytes} bytes")))
+        F.when(out_of, F.concat(F.lit("outside package directory: "), F.col("filename"), F.lit(" resolves outside the package")))
+        .when(big, F.concat(F.lit("file size "), F.col("length").cast("string"), F.lit(f" bytes exceeds cap of {most_bytes} bytes")))
         .when(suffix == ".doc", ".doc legacy Word not supported — convert to .docx and re-upload")
         .when(kind.isNull(), F.concat(F.lit("unsupported file type: "), F.coalesce(F.nullif(suffix, F.lit("")), F.lit("(no extension)"))))
     )
-    prefix = F.when(big, "0" * 12).otherwise(F.substring("sha256", 1, 12))
+    prefix = F.when(big | out_of, "0" * 12).otherwise(F.substring("sha256", 1, 12))
     return out.select(
         F.concat_ws("-", prefix, file_stem_id(stem)).alias("file_id"),
         "filename",
         F.coalesce("sha256", F.lit("")).alias("sha256"),
-        F.when(big, F.coalesce(kind, F.lit("other"))).when(error.isNotNull(), "other").otherwise(kind).alias("file_type"),
+        F.when(big & ~out_of, F.coalesce(kind, F.lit("other"))).when(error.isNotNull(), "other").otherwise(kind).alias("file_type"),
         F.when(error.isNotNull(), "rejected").otherwise(kind).alias("kind"),
         F.when(error.isNotNull(), "rejected").alias("parse_status"),
         error.alias("error"),
@@ -52,6 +65,14 @@ def discover(spark: SparkSession, package_dir: str, most_bytes: int = MOST_BYTES
     ).orderBy("filename")
 
 
+def _leads_out(path: str, root: str) -> bool:
+    """Whether a local file resolves to a place outside the folder."""
+    if not path.startswith("file:"):
+        return False
+    local = lambda p: os.path.realpath(re.sub("^file:/+", "/", p))
+    return os.path.commonpath([local(path), local(root)]) != local(root)
+
+
 def _qualified(spark: SparkSession, path: str) -> str:
     jvm = spark.sparkContext._jvm
     where = jvm.org.apache.hadoop.fs.Path(path)
