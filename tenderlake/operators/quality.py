@@ -70,20 +70,27 @@ def classify_pages(pages: DataFrame, t: Thresholds = Thresholds()) -> DataFrame:
 
 def page_lines(pages: DataFrame) -> DataFrame:
     """(file_id, page_number, line_index, n_lines, line) of all pages with text."""
-    split = lines(F.col("text"))
-    rows = pages.select("file_id", "page_number", F.posexplode(split).alias("line_index", "line"), F.size(split).alias("n_lines"))
+    rows = pages.select("file_id", "page_number", lines(F.col("text")).alias("_lines"))
+    rows = rows.select("file_id", "page_number", F.posexplode("_lines").alias("line_index", "line"), F.size("_lines").alias("n_lines"))
     return rows.select("file_id", "page_number", "line_index", "n_lines", "line")
 
 
-def _in_band(rule: RunningLines) -> Column:
-    return (F.col("line_index") < rule.band) | (F.col("line_index") >= F.col("n_lines") - rule.band)
+def bound(value: Column, body) -> Column:
+    """body(value) with value computed once, however often body uses it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def edge_keys(text: Column, rule: RunningLines) -> Column:
+    """The distinct keys of a page's first and last lines; digit-only lines have none."""
+    band = bound(lines(text), lambda l: F.concat(F.slice(l, 1, rule.band), F.slice(l, -rule.band, rule.band)))
+    return F.array_remove(F.array_distinct(F.transform(band, header_key)), "")
 
 
 def running_lines(pages: DataFrame, rule: RunningLines = RunningLines()) -> DataFrame:
     """(file_id, key, pages): keys of lines that run through a file's page edges; a page votes once per key."""
-    band = page_lines(pages).where(_in_band(rule)).withColumn("key", header_key(F.col("line")))
-    voters = pages.where(F.col("text") != "").groupBy("file_id").agg(F.countDistinct("page_number").alias("voters")).where(F.col("voters") >= rule.voters)
-    votes = band.where("key <> ''").select("file_id", "key", "page_number").distinct().groupBy("file_id", "key").agg(F.count(F.lit(1)).alias("pages"))
+    # one row per page and key at most, so counting needs no distinct
+    votes = pages.select("file_id", F.explode(edge_keys(F.col("text"), rule)).alias("key")).groupBy("file_id", "key").agg(F.count(F.lit(1)).alias("pages"))
+    voters = pages.where("text <> ''").groupBy("file_id").agg(F.count(F.lit(1)).alias("voters")).where(F.col("voters") >= rule.voters)
     return votes.join(voters, "file_id").where((F.col("pages") >= rule.share * F.col("voters")) | (F.col("pages") >= rule.repeats)).select("file_id", "key", "pages")
 
 
@@ -94,8 +101,8 @@ def strip_running(pages: DataFrame, running: DataFrame, rule: RunningLines = Run
     pages as one array and the text is filtered in place, without exploding it.
     """
     keys = running.groupBy("file_id").agg(F.collect_set("key").alias("_keys"))
-    split = lines(F.col("text"))
-    kept = F.filter(split, lambda line, i: ~(((i < rule.band) | (i >= F.size(split) - rule.band)) & F.array_contains(F.col("_keys"), header_key(line))))
+    at_edge = lambda i, n: (i < rule.band) | (i >= n - rule.band)
+    kept = bound(lines(F.col("text")), lambda l: F.filter(l, lambda line, i: ~(at_edge(i, F.size(l)) & F.array_contains(F.col("_keys"), header_key(line)))))
     joined = pages.join(keys, "file_id", "left")
     return joined.withColumn("text", F.when(F.col("_keys").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))).select(*pages.columns)
 
