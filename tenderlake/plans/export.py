@@ -133,6 +133,14 @@ def write_workbook(path: str, package: str, banner: str, matrix: DataFrame, refe
     return True
 
 
+def profile_banner(profile: dict) -> str:
+    """What a report says about the profile that verdicts are made against."""
+    name = f"Capabilities profile: {profile['company_name']}"
+    if not profile.get("is_fictional", True):
+        return name
+    return f"{name} — FICTIONAL DEMO PROFILE. Compliance verdicts are illustrative only and are NOT an assessment of any real company."
+
+
 def showcase_counts(requirements: DataFrame, judgments: DataFrame, placements: DataFrame, outline: DataFrame) -> DataFrame:
     """One row of the figures that a showcase page gives."""
     rows = requirements.join(judgments.select("requirement_id", "verdict"), "requirement_id", "left").join(placements, "requirement_id", "left")
