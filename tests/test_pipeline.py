@@ -174,6 +174,15 @@ def test_grounding(spark):
     assert got[0] == ("exact", 5, 17) and got[1][0] == "fuzzy" and got[2:] == [("none", None, None)] * 4
 
 
+def test_exact_matches_are_all_containments(spark):
+    texts = ["the quick brown fox", "quick brown", "brownish fox", "", None, "a quick brown  x", "ick brown fo"]
+    quotes = ["quick brown fox", "ick brown fo", "brown", "fox", "", None, "quick brown", "e quick brown f"]
+    t = spark.createDataFrame(list(enumerate(texts)), "t int, folded string")
+    q = spark.createDataFrame(list(enumerate(quotes)), "q int, quote string")
+    got = {(r.q, r.t, r.char_start) for r in grounding.exact_matches(q, t).collect()}
+    assert got == {(i, j, a.find(b)) for i, b in enumerate(quotes) if b for j, a in enumerate(texts) if a and b in a}
+
+
 REQ = "requirement_id string, file_id string, page int, verbatim_text string, section_label string, doc_role string, binding_keyword string, atomic_obligation string, req_type string"
 
 

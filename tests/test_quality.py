@@ -65,3 +65,11 @@ def test_empty_tables(spark):
     df = pages(spark, [])
     done, running = q.apply_quality(df)
     assert done.count() == running.count() == q.quality_ranges(done).count() == 0
+
+
+def test_very_long_pages(spark):
+    text = ("Some words shall stand here, 12 of them.\n" * 8000) + "x" * 50_000
+    row = q.page_metrics(pages(spark, [("f", 1, text, None)])).first()
+    assert 0.5 < row.alpha_ratio < 1 and row.printable_ratio == 1.0 and row.cid_count == 0
+    done, _ = q.apply_quality(pages(spark, [("f", 1, text, None), ("f", 2, text + "\nend", None)]))
+    assert done.where("quality = 'ok'").count() == 2
