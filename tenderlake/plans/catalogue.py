@@ -59,11 +59,25 @@ sects AS (SELECT c.file_id, letter, title, unit AS unit_start, line_index, great
 )
 
 
+#: Columns that Spark has as 32-bit integers and the oracle would widen.
+_NARROW = {
+    "q_strip_running": ["page_number"],
+    "q_quality_ranges": ["first_page", "last_page"],
+    "q_window_pack": ["first_page", "last_page"],
+    "q_page_map": ["page"],
+    "q_offset_to_page": ["page"],
+    "q_atomic_ord": ["draft_idx", "root_idx", "atomic_ord"],
+    "q_occurrence": ["draft_idx", "occurrence"],
+    "q_crossref": ["place"],
+}
+
+
 def register(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     def add(query: Query) -> Query:
         _queries[name] = query
         if sql is not None:
-            _sql[name] = sql
+            casts = ", ".join(f'CAST("{c}" AS INTEGER) AS "{c}"' for c in _NARROW.get(name, []))
+            _sql[name] = f"SELECT * REPLACE ({casts}) FROM ({sql})" if casts else sql
         return query
 
     return add
