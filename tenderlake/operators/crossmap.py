@@ -18,8 +18,9 @@ def bucket(req_type: Column) -> Column:
 
 
 def candidates(rows: DataFrame, block: int = POOL_BLOCK) -> DataFrame:
-    """Pairs (a, b, texts) of each row with the rows of its counterpart buckets, under one factor where both have one.
+    """Pairs (a, b, texts) of each row with the rows of its counterpart buckets, where both can be under one factor.
 
+    factors has all factors of a row, and is null where it meets every factor.
     L meets M, M meets L, C meets both. Instructions and criteria are the query set: they
     are cut into blocks, and every row meets every block of its counterparts, so all tests
     are made and no task holds a whole bucket.
@@ -27,22 +28,35 @@ def candidates(rows: DataFrame, block: int = POOL_BLOCK) -> DataFrame:
     pool = rows.where("bucket in ('L', 'M')")
     parts = max(1, -(-pool.count() // block))
     number = F.pmod(F.xxhash64("requirement_id"), F.lit(parts))
-    pool = pool.select(number.alias("_part"), F.col("bucket").alias("_pool"), F.col("requirement_id").alias("b"), F.col("_text").alias("text_b"), F.col("factor").alias("factor_b"))
+    pool = pool.select(number.alias("_part"), F.col("bucket").alias("_pool"), F.col("requirement_id").alias("b"), F.col("_text").alias("text_b"), F.col("factors").alias("factors_b"))
     wanted = F.when(F.col("bucket") == "L", F.array(F.lit("M"))).when(F.col("bucket") == "M", F.array(F.lit("L"))).otherwise(F.array(F.lit("L"), F.lit("M")))
-    asked = rows.select(F.col("requirement_id").alias("a"), F.col("_text").alias("text_a"), F.col("factor").alias("factor_a"), F.explode(wanted).alias("_pool"))
+    asked = rows.select(F.col("requirement_id").alias("a"), F.col("_text").alias("text_a"), F.col("factors").alias("factors_a"), F.explode(wanted).alias("_pool"))
     asked = asked.withColumn("_part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long"))))
-    same = F.col("factor_a").isNull() | F.col("factor_b").isNull() | (F.col("factor_a") == F.col("factor_b"))
+    # few rows make many pairs: they are dealt out before they meet
+    asked = asked.repartition(4 * rows.sparkSession.sparkContext.defaultParallelism, "a")
+    same = F.col("factors_a").isNull() | F.col("factors_b").isNull() | F.arrays_overlap("factors_a", "factors_b")
     return asked.join(F.broadcast(pool) if parts == 1 else pool, ["_part", "_pool"]).where(same).select("a", "b", "text_a", "text_b")
 
 
 def cross_map(requirements: DataFrame, factors: DataFrame | None = None, threshold: float = THRESHOLD, similarity=token_set_similarity) -> DataFrame:
-    """One row per requirement: counterpart_ids (best first), gap_kind, rationale, score."""
+    """One row per requirement: counterpart_ids (best first, all of them), gap_kind, rationale, score."""
     text = normalize(F.coalesce(F.nullif("atomic_obligation", F.lit("")), "verbatim_text"))
     rows = requirements.select("requirement_id", bucket(F.col("req_type")).alias("bucket"), text.alias("_text"))
     rows = rows.join(factors.select("requirement_id", "factor"), "requirement_id", "left") if factors is not None else rows.withColumn("factor", F.lit(None).cast("string"))
-    scored = candidates(rows).select("a", "b", similarity(F.col("text_a"), F.col("text_b")).alias("score")).where(F.col("score") >= threshold)
-    best = scored.groupBy("a").agg(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("less"), F.col("b").alias("b")))).alias("_found"))
-    out = rows.join(best.withColumnRenamed("a", "requirement_id"), "requirement_id", "left")
+    # a text is scored once for all its rows; rows of one text and factor (a form) have the same counterparts
+    rows = rows.withColumn("_key", F.sha2(F.to_json(F.struct("bucket", "_text")), 256))
+    rows = rows.withColumn("_form", F.sha2(F.to_json(F.struct("_key", "factor")), 256))
+    under = F.when(F.count("factor") == F.count(F.lit(1)), F.collect_set("factor")).alias("factors")
+    texts = rows.groupBy(F.col("_key").alias("requirement_id"), "bucket", "_text").agg(under)
+    scored = candidates(texts).select("a", "b", similarity(F.col("text_a"), F.col("text_b")).alias("score")).where(F.col("score") >= threshold)
+    forms = rows.groupBy("_form", "_key", "factor").agg(F.collect_list("requirement_id").alias("_ids"))
+    mine = forms.select("_form", F.col("_key").alias("a"), F.col("factor").alias("factor_a"))
+    theirs = forms.select(F.col("_key").alias("b"), F.col("factor").alias("factor_b"), "_ids")
+    same = F.col("factor_a").isNull() | F.col("factor_b").isNull() | (F.col("factor_a") == F.col("factor_b"))
+    found = F.transform("_ids", lambda i: F.struct((-F.col("score")).alias("less"), i.alias("b"))).alias("_found")
+    listed = scored.join(mine, "a").join(theirs, "b").where(same).select("_form", found)
+    best = listed.groupBy("_form").agg(F.sort_array(F.flatten(F.collect_list("_found"))).alias("_found"))
+    out = rows.join(best, "_form", "left")
     ids = F.coalesce(F.transform("_found", lambda x: x["b"]), F.array().cast("array<string>"))
     n = F.size(ids)
     kind = F.when(n > 0, "mapped").when(F.col("bucket") == "L", "l_without_m").when((F.col("bucket") == "M") & F.col("factor").isNull(), "evaluation_process").when(F.col("bucket") == "M", "m_without_l").otherwise("sow_without_either")

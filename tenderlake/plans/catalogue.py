@@ -544,16 +544,11 @@ def q_gap_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("q_crossmap_fuzzy")
 def q_crossmap_fuzzy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Requirements of the solicitations by the default similarity, under their factors."""
-    found = crossmap.cross_map(_distinct_reqs(spark, sf_dir))
+    """All requirements of the solicitations by the default similarity, under their factors."""
+    found = crossmap.cross_map(ad.solicitation_requirements(spark, sf_dir), q_assign_factors(spark, sf_dir))
     return found.select("requirement_id", "gap_kind", F.size("counterpart_ids").alias("counterparts"), F.round("score", 6).alias("score"))
 
 
-def _distinct_reqs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = ad.solicitation_requirements(spark, sf_dir)
-    return rows.groupBy("verbatim_text", "atomic_obligation", "req_type").agg(F.min("requirement_id").alias("requirement_id"))
-
-
 @register(
     "q_factor_titles",
     rf"""WITH {_STARTS}, t AS (SELECT s.file_id, l.page_number, l.line_index, l.line FROM sects s JOIN lines l ON l.file_id = s.file_id AND l.page_number BETWEEN unit_start AND unit_end WHERE s.letter IN ('L', 'M') AND kind = 9),
