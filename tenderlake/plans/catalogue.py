@@ -460,6 +460,31 @@ def q_over_extracted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sweep.over_extractions(ad.solicitation_requirements(spark, sf_dir), _hits(spark, sf_dir), match_file=True).select("requirement_id")
 
 
+# the same by the page alone, over all files and all requirements
+
+_COVER_PAGES = _COVER.replace(" AND n.file_id = h.file_id", "")
+
+
+@register(
+    "q_reconcile_pages",
+    _COVER_PAGES + ", first AS (SELECT requirement_id, arg_min(binding_keyword, (file_id, hit_idx)) AS swept FROM pairs GROUP BY 1) SELECT r.requirement_id, coalesce(swept, 'none') AS binding_keyword FROM reqs r LEFT JOIN first USING (requirement_id)",
+)
+def q_reconcile_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    updated, _ = sweep.reconcile(ad.solicitation_requirements(spark, sf_dir), _hits(spark, sf_dir))
+    return updated.select("requirement_id", "binding_keyword")
+
+
+@register("q_missed_pages", _COVER_PAGES + " SELECT h.file_id, h.page, h.hit_idx, h.binding_keyword FROM hits h ANTI JOIN pairs p ON h.file_id = p.file_id AND h.page = p.page AND h.hit_idx = p.hit_idx")
+def q_missed_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _, missed = sweep.reconcile(ad.solicitation_requirements(spark, sf_dir), _hits(spark, sf_dir))
+    return missed.select("file_id", "page", "hit_idx", "binding_keyword")
+
+
+@register("q_over_extracted_pages", _COVER_PAGES + " SELECT requirement_id FROM reqs ANTI JOIN pairs USING (requirement_id)")
+def q_over_extracted_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sweep.over_extractions(ad.solicitation_requirements(spark, sf_dir), _hits(spark, sf_dir)).select("requirement_id")
+
+
 @register(
     "q_amend_affects",
     rf"""WITH {_REQS}, ch AS (SELECT requirement_id AS cid, upper(unnest(list_distinct(regexp_extract_all(verbatim_text, '(?i)\b(?:Section|Clause|Paragraph|Provision)\s+([A-Z](?:\.[0-9]+)*(?:\.[0-9]+)?)', 1)))) AS ref FROM reqs WHERE doc_role = 'amendment' AND regexp_matches(verbatim_text, '(?i)is\s+(?:hereby\s+)?(?:changed|revised|amended|deleted|added|replaced)')),

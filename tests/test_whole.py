@@ -14,8 +14,8 @@ SMALL = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(SMALL), reason="needs the test tables")
 
 
-def query(spark, name):
-    return catalogue.queries()[name](spark, SMALL)
+def query(spark, name, sf_dir=SMALL):
+    return catalogue.queries()[name](spark, sf_dir)
 
 
 def test_cross_map_has_every_requirement_under_its_factor(spark):
@@ -32,3 +32,18 @@ def test_cross_map_has_every_requirement_under_its_factor(spark):
         want[i] = ("mapped" if scores else gap, len(scores), round(max(scores, default=0.0), 6))
     got = query(spark, "q_crossmap_fuzzy").collect()
     assert len(got) == len(rows) and {r.requirement_id: (r.gap_kind, r.counterparts, r.score) for r in got} == want
+
+
+def test_sweep_goes_by_the_page_over_all_files(spark):
+    rows = ad.solicitation_requirements(spark, SMALL).collect()
+    hits = sorted((h.file_id, h.page, h.hit_idx, h.sentence, h.binding_keyword) for h in query(spark, "q_sweep_hits").collect())
+    first, covered = {}, set()
+    for r in rows:
+        for file_id, page, i, sentence, word in hits:
+            if page == r.page and (r.verbatim_text in sentence or sentence in r.verbatim_text):
+                first.setdefault(r.requirement_id, (word, file_id, r.file_id))
+                covered.add((file_id, page, i))
+    assert any(here != of for _, here, of in first.values())
+    assert {r.requirement_id: r.binding_keyword for r in query(spark, "q_reconcile_pages").collect()} == {r.requirement_id: first.get(r.requirement_id, ("none",))[0] for r in rows}
+    assert {r.requirement_id for r in query(spark, "q_over_extracted_pages").collect()} == {r.requirement_id for r in rows} - set(first)
+    assert {(r.file_id, r.page, r.hit_idx) for r in query(spark, "q_missed_pages").collect()} == {h[:3] for h in hits} - covered
