@@ -313,6 +313,13 @@ def q_chunk_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.join(tree.select("file_id").distinct(), "file_id", "left_semi").withColumn("_n", count).where("_n = 1 and length(text) <= 24000").select("file_id", "section_label", F.size("page_map").cast("long").alias("pages"), "chunk_key")
 
 
+@register("q_chunk_windows_all")
+def q_chunk_windows_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All windows of all nodes, and of whole files where they have none."""
+    rows = chunks.chunks(ad.solicitation_files(spark, sf_dir), _tree(spark, sf_dir), ad.solicitation_pages(spark, sf_dir))
+    return rows.select("file_id", "dfs_ord", "window_ord", "section_label", F.size("page_map").cast("long").alias("pages"), "chunk_key")
+
+
 # --- grounding and ids -------------------------------------------------------------------------
 
 

@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
+import hashlib
 import os
+import re
+from collections import defaultdict
 
 import pytest
+from test_pipeline import greedy
 
 from tenderlake.functions.fuzzy import token_set_ratio
 from tenderlake.plans import catalogue
 from tenderlake.sources import adapters as ad
 
-SMALL = "/root/testdata/sf0.001"
+SMALL, LARGE = "/root/testdata/sf0.001", "/root/testdata/sf0.1"
 pytestmark = pytest.mark.skipif(not os.path.isdir(SMALL), reason="needs the test tables")
 
 
@@ -47,3 +51,22 @@ def test_sweep_goes_by_the_page_over_all_files(spark):
     assert {r.requirement_id: r.binding_keyword for r in query(spark, "q_reconcile_pages").collect()} == {r.requirement_id: first.get(r.requirement_id, ("none",))[0] for r in rows}
     assert {r.requirement_id for r in query(spark, "q_over_extracted_pages").collect()} == {r.requirement_id for r in rows} - set(first)
     assert {(r.file_id, r.page, r.hit_idx) for r in query(spark, "q_missed_pages").collect()} == {h[:3] for h in hits} - covered
+
+
+@pytest.mark.skipif(not os.path.isdir(LARGE), reason="needs the test tables")
+def test_chunks_are_all_windows_of_all_nodes(spark):
+    pages = defaultdict(dict)
+    for p in ad.solicitation_pages(spark, LARGE).collect():
+        pages[p.file_id][p.page_number] = p.text
+    nodes = defaultdict(list)
+    for n in catalogue._tree(spark, LARGE).collect():
+        nodes[n.file_id].append((n.dfs_ord, n.label or n.role or f"{n.file_id}.pdf", n.unit_start, n.unit_end))
+    want = []
+    for file_id, texts in pages.items():
+        for dfs_ord, label, low, high in nodes.get(file_id, [(0, f"{file_id}.pdf", min(texts), max(texts))]):
+            mine = [texts[p] for p in sorted(texts) if low <= p <= high]
+            for i, (a, b) in enumerate(greedy([len(t) for t in mine], 24_000)):
+                text = re.sub(r"\s+", " ", re.sub(r"(\w)-\s*\n\s*(\w)", r"\1\2", "\n".join(mine[a : b + 1]))).strip()
+                want.append((file_id, dfs_ord, i, label, b - a + 1, "CHK-" + hashlib.sha256(text.encode()).hexdigest()[:12]))
+    got = [tuple(r) for r in query(spark, "q_chunk_windows_all", LARGE).collect()]
+    assert any(r[2] > 0 for r in want) and sorted(got) == sorted(want)
