@@ -28,7 +28,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from .common import NON_SPACE, U64, Texts, fields, mix, slices, small_batches
+from .common import NON_SPACE, U64, Texts, fields, mix, slices
 from .toxicity import held_out
 
 #: Rows of the word table, dimensions, and non-zero places of an index vector.
@@ -40,8 +40,11 @@ WINDOW = 2
 SAMPLE = 12_000
 HIDDEN, STEPS = 32, 400
 CHUNK = 512  # table rows of a chunk in the shuffle
+#: Word pairs that are held before they are counted.
+PAIRS = 4 << 20
 
-_CLASS = np.zeros(256, np.uint8)
+_CLASS = np.full(256, 32, np.uint8)
+_CLASS[[0x20, *range(0x09, 0x0E)]] = 0
 _CLASS[0x61:0x7B], _CLASS[0x41:0x5B], _CLASS[0x30:0x3A], _CLASS[0x80:] = 1, 2, 4, 1
 for _b in b"#*$%&|<>@^~=+_{}[]\\":
     _CLASS[_b] = 8
@@ -56,25 +59,23 @@ class Tokens:
         words = texts.words(NON_SPACE, fold=True)
         self.owner, self.n_docs, self.counts = words.owner(), len(texts), np.diff(words.doc)
         self.word = (words.hashes >> U64(50)).astype(np.int64)
-        kinds = _CLASS[texts.data]
         n = len(self.word)
         if not n:
             self.shape = np.zeros(0, np.int64)
             return
-        # how many bytes of each class a word has, from running counts
-        def share(bit: int) -> np.ndarray:
-            sums = np.concatenate([[0], np.cumsum((kinds & bit) > 0, dtype=np.int32)])
-            return sums[words.ends] - sums[words.starts]
-
+        # the bytes from one word's start to the next's: white space between is of no class
+        kinds = _CLASS[texts.data]
+        has = np.bitwise_or.reduceat(kinds, words.starts)
+        upper = np.add.reduceat((kinds == 2).view(np.uint8), words.starts, dtype=np.int32)
+        stops = np.add.reduceat((kinds == 16).view(np.uint8), words.starts, dtype=np.int32)
         size = words.ends - words.starts
-        upper, digits, signs, stops = share(2), share(4), share(8), share(16)
-        letters = share(1) + upper
-        case = np.where(letters == 0, 0, np.where(upper == 0, 1, np.where((upper == letters) & (letters > 1), 3, 2)))
-        mark = np.where(signs == 0, np.where(stops > 1, 1, 0), np.where(signs == size, 3, 2))
+        letters, signs, digits = (has & 3) > 0, (has & 8) > 0, (has & 4) > 0
+        case = np.where(~letters, 0, np.where(upper == 0, 1, np.where(((has & 1) == 0) & (upper > 1), 3, 2)))
+        mark = np.where(~signs, np.where(stops > 1, 1, 0), np.where(has == 8, 3, 2))
         same = np.zeros(n, np.int64)
         same[1:] = (words.hashes[1:] == words.hashes[:-1]) & (self.owner[1:] == self.owner[:-1])
         span = np.minimum(np.log2(size).astype(np.int64), 5)
-        self.shape = ((((case * 4 + mark) * 2 + same) * 2 + (digits > 0)) * 8 + span).astype(np.int64)
+        self.shape = ((((case * 4 + mark) * 2 + same) * 2 + digits) * 8 + span).astype(np.int64)
 
 
 def index_vectors(rows: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
@@ -83,39 +84,57 @@ def index_vectors(rows: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
     return (h % U64(DIM)).astype(np.int64), np.where((h >> U64(40)) & U64(1), 1, -1).astype(np.int64)
 
 
-def contexts(tokens: Tokens) -> np.ndarray:
-    """Sums of neighbours' index vectors: a row for each word row, then for each shape row."""
-    table = np.zeros((ROWS + SHAPES, DIM), np.int64)
-    n = len(tokens.word)
-    if not n:
-        return table
-    places, signs = index_vectors(ROWS + SHAPES, 11)
-    for k in range(1, WINDOW + 1):
-        near = np.flatnonzero(tokens.owner[k:] == tokens.owner[:-k])
-        for a, b in ((near, near + k), (near + k, near)):
-            # words see words; shapes see shapes
-            for here, there in ((tokens.word[a], tokens.word[b]), (tokens.shape[a] + ROWS, tokens.shape[b] + ROWS)):
-                # neighbours are counted first, so that each pair of rows is added once
-                pair, times = _counted(here << 16 | there)
-                at, row = pair >> 16, pair & 0xFFFF
-                for p in range(PLACES):
-                    flat = at * DIM + places[row, p]
-                    table += np.bincount(flat, weights=signs[row, p] * times, minlength=table.size).astype(np.int64).reshape(table.shape)
-    return table
-
-
-def _counted(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    values = np.sort(values)
-    heads = np.flatnonzero(np.diff(values, prepend=-1))
-    return values[heads], np.diff(np.append(heads, len(values)))
+class Contexts:
+    """Sums of neighbours' index vectors: a row for each word row, then for each shape row.
+
+    Pairs of neighbours are counted first, over many slices, and each distinct pair is
+    added once, in whole numbers. Words see words; shapes see shapes.
+    """
+
+    def __init__(self) -> None:
+        self.table = np.zeros((ROWS + SHAPES, DIM), np.int64)
+        self.words: list[np.ndarray] = []
+        self.held = 0
+        self.shapes = np.zeros(SHAPES * SHAPES, np.int64)
+
+    def add(self, tokens: Tokens) -> None:
+        word = tokens.word.astype(np.uint32)
+        for k in range(1, WINDOW + 1):
+            near = tokens.owner[k:] == tokens.owner[:-k]
+            self.words.append((word[:-k] * np.uint32(ROWS) + word[k:])[near])
+            self.held += len(self.words[-1])
+            self.shapes += np.bincount((tokens.shape[:-k] * SHAPES + tokens.shape[k:])[near], minlength=SHAPES * SHAPES)
+        if self.held >= PAIRS:
+            self._flush()
+
+    def _flush(self) -> None:
+        pairs = np.sort(np.concatenate(self.words)) if self.words else np.zeros(0, np.uint32)
+        self.words, self.held = [], 0
+        heads = np.flatnonzero(np.diff(pairs, prepend=~pairs[:1]))
+        distinct = pairs[heads].astype(np.int64)
+        self._project(distinct // ROWS, distinct % ROWS, np.diff(np.append(heads, len(pairs))), 0, ROWS)
+
+    def _project(self, left: np.ndarray, right: np.ndarray, times: np.ndarray, base: int, rows: int) -> None:
+        places, signs = index_vectors(ROWS + SHAPES, 11)
+        for at, seen in ((left, right), (right, left)):
+            for p in range(PLACES):
+                sums = np.bincount(at * DIM + places[base + seen, p], weights=signs[base + seen, p] * times, minlength=rows * DIM)
+                self.table[base : base + rows] += sums.astype(np.int64).reshape(rows, DIM)
+
+    def sums(self) -> np.ndarray:
+        self._flush()
+        some = np.flatnonzero(self.shapes)
+        self._project(some // SHAPES, some % SHAPES, self.shapes[some], ROWS, SHAPES)
+        self.shapes[:] = 0
+        return self.table
 
 
 def _partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    table = np.zeros((ROWS + SHAPES, DIM), np.int64)
+    found = Contexts()
     for whole in batches:
-        for batch in slices(whole, whole.schema.names[0], 4 << 20):
-            table += contexts(Tokens(Texts(batch.column(0))))
-    yield _chunks(table)
+        for batch in slices(whole, whole.schema.names[0]):
+            found.add(Tokens(Texts(batch.column(0))))
+    yield _chunks(found.sums())
 
 
 def _chunks(table: np.ndarray) -> pa.RecordBatch:
@@ -142,7 +161,6 @@ CHUNKS = T.StructType(fields(chunk="int", sums="binary"))
 
 def word_vectors(docs: DataFrame, text: str = "text") -> np.ndarray:
     """Unit vectors of all rows, from the whole of docs; a table of fixed size (4 MB)."""
-    small_batches(docs.sparkSession)
     partial = docs.select(text).mapInArrow(_partial, CHUNKS)
     # two steps: as many tasks as there are chunks and salts, then one sum per chunk
     some = partial.withColumn("_salt", F.pmod(F.spark_partition_id(), F.lit(8))).repartition("chunk", "_salt").select("chunk", "sums").mapInArrow(_added, CHUNKS)
@@ -161,18 +179,27 @@ def word_vectors(docs: DataFrame, text: str = "text") -> np.ndarray:
 
 
 def pooled(tokens: Tokens, vectors: np.ndarray) -> np.ndarray:
-    """Per document: mean word vector, mean shape vector, and log length."""
+    """Per document: mean word vector, mean shape vector, and log length.
+
+    Distinct words of a document are counted, and the counts multiplied with their vectors,
+    document by document, so a document's values don't depend on those around it.
+    """
     n = tokens.n_docs
     out = np.zeros((n, 2 * DIM + 1), np.float32)
-    some = np.flatnonzero(tokens.counts)
-    if len(some):
-        starts = (np.cumsum(tokens.counts) - tokens.counts)[some]
-        size = tokens.counts[some][:, None]
-        for low in range(0, len(some), 256):  # documents at a time, to bound the gathered vectors
-            hi = min(low + 256, len(some))
-            a, b = starts[low], starts[hi] if hi < len(some) else len(tokens.word)
-            for part, rows in ((0, tokens.word[a:b]), (DIM, tokens.shape[a:b] + ROWS)):
-                out[some[low:hi], part : part + DIM] = np.add.reduceat(vectors[rows], starts[low:hi] - a, axis=0) / size[low:hi]
+    key = np.sort((tokens.owner * ROWS + tokens.word).astype(np.uint32 if n * ROWS < 1 << 32 else np.int64))
+    heads = np.flatnonzero(np.diff(key, prepend=~key[:1]))
+    times = np.diff(np.append(heads, len(key))).astype(np.float32)
+    key = key[heads].astype(np.int64)
+    rows, cuts = key % ROWS, np.searchsorted(key, np.arange(n + 1) * ROWS)
+    for i in np.flatnonzero(tokens.counts):
+        a, b = cuts[i], cuts[i + 1]
+        out[i, :DIM] = times[a:b] @ vectors.take(rows[a:b], axis=0)
+    for low in range(0, n, 4096):  # documents at a time, to bound the counts
+        here = slice(*np.searchsorted(tokens.owner, (low, low + 4096)))
+        size = min(4096, n - low)
+        counts = np.bincount((tokens.owner[here] - low) * SHAPES + tokens.shape[here], minlength=size * SHAPES)
+        out[low : low + size, DIM : 2 * DIM] = counts.reshape(size, SHAPES).astype(np.float32) @ vectors[ROWS:]
+    out[:, : 2 * DIM] /= np.maximum(tokens.counts, 1)[:, None]
     out[:, -1] = np.log1p(tokens.counts) / 5.0
     return out
 
