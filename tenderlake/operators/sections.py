@@ -25,15 +25,17 @@ ROLE_TITLES = {
 ROLE_LABELS = {"instructions": "INSTRUCTIONS", "evaluation": "EVALUATION", "sow_pws": "SOW", "special_requirements": "SPECIAL REQS"}
 LETTER_ROLES = {"C": "sow_pws", "H": "special_requirements", "I": "clauses", "J": "attachments_list", "L": "instructions", "M": "evaluation"}
 PROSE_STARTS = (
-    ", OF IS ARE WAS WERE WILL SHALL MAY MUST CAN COULD SHOULD WOULD DO DOES DID HAS HAVE HEREBY BEING BEEN ABOVE BELOW AND OR NOR BUT TO IN UNDER "
-    "WITHIN WITHOUT THAT WHICH THEREOF THEREIN THERETO HEREIN HEREOF HERETO HEREUNDER ENTITLED"
-).split()
+    ",", "OF", "IS", "ARE", "WAS", "WERE", "WILL", "SHALL", "MAY", "MUST", "CAN", "COULD", "SHOULD", "WOULD", "DO", "DOES", "DID", "HAS", "HAVE", "HEREBY",
+    "BEING", "BEEN", "ABOVE", "BELOW", "AND", "OR", "NOR", "BUT", "TO", "IN", "UNDER", "WITHIN", "WITHOUT", "THAT", "WHICH", "THEREOF", "THEREIN", "THERETO",
+    "HEREIN", "HEREOF", "HERETO", "HEREUNDER", "ENTITLED",
+)
 
 
 @dataclass(frozen=True)
 class Headings:
     """Patterns (of folded lines) and limits of heading detection."""
 
+    # How section, part and paragraph headings look, and lines of a table of contents.
     section: str = r"(?i)^\s*SECTION\s+([A-M])\b\s*[—–\-:]?\s*(.{0,120})$"
     part: str = r"(?i)^\s*PART\s+(I{1,3}|IV)\b\s*[—–\-:.]?\s*(.{0,80})$"
     paragraph: str = r"^\s*([A-M])((?:\.\d{1,4}){1,6})\b"
@@ -58,6 +60,11 @@ def _role(line: Column, rules: Headings, at_start: bool) -> Column:
     return out
 
 
+def role_in_title(line: Column, rules: Headings = HEADINGS) -> Column:
+    """The role of the first known title that the folded line holds anywhere, or null."""
+    return _role(line, rules, False)
+
+
 def _lookup(key: Column, table: dict[str, str]) -> Column:
     out = F.lit(None).cast("string")
     for k, v in table.items():

@@ -34,7 +34,7 @@ SELECT 'F' || CAST(k % 25 AS STRING) AS file_id, CAST(1 + CAST(floor(k / 25) AS
     WHEN 11 THEN 'Page ' || CAST(k % 30 AS STRING) || ' of 30'
     WHEN 12 THEN 'Solicitation Header'
     WHEN 13 THEN 'Contractors must keep records of ' || words || ' at no cost.'
-    WHEN 14 THEN 'A bidder should not rely on ' || words || ' and shall not copy it.'
+    WHEN 14 THEN 'A bidder should not rely on ' || words || ', e.g. under para. ' || letter || '.' || CAST(c % 5 + 1 AS STRING) || '. It shall not copy it.'
     ELSE 'SECTION ' || letter || ' - ' || words || ' .... ' || CAST(c % 90 + 1 AS STRING) END AS line,
   kind, letter, c
 FROM (SELECT o_orderkey AS k, o_custkey AS c, (o_orderkey * 7 + o_custkey) % 16 AS kind, substr('ABCDEFGHIJKLM', CAST(o_custkey % 13 AS INT) + 1, 1) AS letter,

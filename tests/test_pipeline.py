@@ -59,6 +59,51 @@ def test_discovery(spark, folder):
     assert tiny["base file.pdf"].file_id == "000000000000-base-file" and "exceeds cap" in tiny["base file.pdf"].error and tiny["base file.pdf"].file_type == "pdf"
 
 
+def test_discovery_of_odd_files(spark, tmp_path):
+    (tmp_path / "pack").mkdir()
+    for name in ("_hidden.pdf", ".dot.docx", "a b%20c.PDF", "x.tar.gz"):
+        (tmp_path / "pack" / name).write_bytes(name.encode())
+    (tmp_path / "out.pdf").write_bytes(b"secret")
+    (tmp_path / "pack" / "link.pdf").symlink_to(tmp_path / "out.pdf")
+    rows = {r.filename: r for r in discover.discover(spark, str(tmp_path / "pack")).collect()}
+    assert set(rows) == {"_hidden.pdf", ".dot.docx", "a b%20c.PDF", "x.tar.gz", "link.pdf"}
+    assert rows["_hidden.pdf"].kind == "pdf" and rows["a b%20c.PDF"].kind == "pdf" and rows[".dot.docx"].kind == "docx"
+    assert rows["link.pdf"].error.startswith("outside package directory") and rows["link.pdf"].sha256 == "" and rows["x.tar.gz"].error == "unsupported file type: .gz"
+    parsed = documents.parsed_files(discover.discover(spark, str(tmp_path / "pack")), "pdf", fake_pdf)
+    assert {r.parse_status for r in parsed.collect()} == {"ok"} and parsed.count() == 2
+
+
+def test_unreadable_files_are_rows(spark, tmp_path):
+    (tmp_path / "a.pdf").write_bytes(b"x")
+    (tmp_path / "b.pdf").write_bytes(b"x")
+    listed = discover.listing(spark, str(tmp_path))
+    (tmp_path / "b.pdf").unlink()
+    rows = {r.filename: r for r in discover.identified(discover.with_hashes(spark, listed)).collect()}
+    assert rows["a.pdf"].kind == "pdf" and rows["b.pdf"].kind == "rejected" and rows["b.pdf"].file_id == "000000000000-b"
+    assert rows["b.pdf"].error.startswith("unreadable file: ") and rows["b.pdf"].file_type == "other"
+
+
+def test_columns_and_layout_of_pdfs(spark, tmp_path):
+    """A parser that gives words' places: column pages are read by rows, and page one's layout text shows its form."""
+
+    def parser(data: bytes) -> list[dict]:
+        words = [{"text": "Item", "x0": 66.0, "top": 10.0}]
+        for i in range(8):
+            words += [{"text": f"{i}.", "x0": 66.0, "top": 100.0 + 12 * i}, {"text": f"body {i} (cid:3)", "x0": 210.0, "top": 100.0 + 12 * i}]
+        words += [{"text": "more", "x0": 210.0, "top": 200.0 + 12 * i} for i in range(4)]
+        base = {"char_count": 400, "height": 700.0}
+        return [
+            base | {"page_number": 1, "text": FILL * 3, "metrics": documents.text_metrics("", False), "words": [], "layout_text": "SOLICITATION,  OFFER\nAND AWARD"},
+            base | {"page_number": 2, "text": "spliced", "metrics": documents.text_metrics("spliced", True), "words": words, "layout_text": None},
+        ]
+
+    (tmp_path / "cols.pdf").write_bytes(b"x")
+    package = parse_package(spark, str(tmp_path), pdf=parser)
+    pages = {r.page_number: r for r in documents.page_rows(documents.parsed_files(discover.discover(spark, str(tmp_path)), "pdf", parser))[0].collect()}
+    assert pages[1].text == FILL * 3 and pages[2].text.split("\n")[1] == "0. body 0 (cid:3)" and pages[2].metrics == {"cid_count": 8.0, "replacement_char_count": 0.0, "has_images": 1.0}
+    assert package.files.first().form == "sf33" and package.files.first().form_source == "layout_text"
+
+
 def test_docx(spark):
     blocks = documents.docx_blocks(docx(["one", "two"], [["a", "b"], ["c", "d"]]))
     assert [(b["ordinal"], b["kind"], b["text"]) for b in blocks] == [(0, "paragraph", "one"), (1, "paragraph", "two"), (2, "table", "")]
@@ -112,7 +157,7 @@ def test_whole_run(spark, folder, tmp_path):
     assert any("must be trained" in r.sentence for r in found.missed.collect())
     verdicts = tmp_path / "verdicts.jsonl"
     verdicts.write_text(json.dumps({"requirement_id": lreq.requirement_id, "verdict": "fully_compliant", "rationale": "yes", "confidence": "high", "profile_evidence": []}))
-    done = run_analysis(package, found, records.load_verdicts(spark, str(verdicts)))
+    done = run_analysis(package, found.requirements, records.load_verdicts(spark, str(verdicts)))
     matrix = {r.requirement_id: r for r in done.rows().collect()}
     assert len(matrix) == 5 and matrix[lreq.requirement_id].compliance == "Fully Compliant" and matrix[lreq.requirement_id].cross_map == "Mapped"
     assert sum(r.n for r in outline.outline_coverage(done.placements).collect()) == 5
