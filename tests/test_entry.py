@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import os
+import shutil
 import subprocess
 import sys
 
@@ -17,9 +18,17 @@ def test_every_sql_has_its_query():
     assert set(entry.oracle_sql()) <= set(entry.queries())
 
 
-def test_entry_without_the_corpus_operators():
-    code = "import sys; sys.modules['tenderlake.llm'] = None; import __spark_entry__ as e; q = e.queries(); assert q and not any(n.startswith('op') or n == 'pipeline' for n in q); assert set(e.oracle_sql()) <= set(q)"
-    subprocess.run([sys.executable, "-c", code], cwd=ROOT, check=True)
+def test_entry_without_the_corpus_operators(tmp_path):
+    """In a copy of the tree without their folders; with them, a module that they lack is an error."""
+    code = "import __spark_entry__ as e; q = e.queries(); assert q and not any(n.startswith('op') or n == 'pipeline' for n in q); assert set(e.oracle_sql()) <= set(q)"
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"} | {"PYTHONPATH": os.pathsep.join(p for p in sys.path if p and not p.startswith(ROOT))}
+    copy = tmp_path / "tree"
+    shutil.copytree(ROOT, copy, ignore=shutil.ignore_patterns(".git", "__pycache__", "llm", "corpus_pipeline.py"))
+    subprocess.run([sys.executable, "-c", code], cwd=copy, env=env, check=True)
+    shutil.copy(os.path.join(ROOT, "corpus_pipeline.py"), copy)
+    subprocess.run([sys.executable, "-c", code], cwd=copy, env=env, check=True)
+    broken = "import sys; sys.modules['ahocorasick'] = None; import __spark_entry__"
+    assert subprocess.run([sys.executable, "-c", broken], cwd=ROOT, env=env, capture_output=True).returncode != 0
 
 
 @pytest.mark.skipif(not os.path.isdir(SMALL), reason="needs the test tables")
