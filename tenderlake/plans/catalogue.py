@@ -199,7 +199,7 @@ def q_section_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _PARAS = (
     _STARTS
-    + rf""", paras AS (SELECT c.file_id, c.label, c.letter, c.unit, c.line_index, len(regexp_extract_all(c.label, '\.')) AS d, s.unit_start AS sf, s.line_index AS sl, s.unit_end AS st FROM cands c ANTI JOIN toc t ON c.file_id = t.file_id AND c.unit = t.unit
+    + rf""", paras AS (SELECT c.file_id, c.label, c.title, c.letter, c.unit, c.line_index, len(regexp_extract_all(c.label, '\.')) AS d, s.unit_start AS sf, s.line_index AS sl, s.unit_end AS st FROM cands c ANTI JOIN toc t ON c.file_id = t.file_id AND c.unit = t.unit
   JOIN sects s ON s.file_id = c.file_id AND s.letter = c.letter WHERE signal = 'paragraph_numbering' AND NOT regexp_matches(c.title, '^(?:{'|'.join(sections.PROSE_STARTS)})\b') AND (c.unit, c.line_index) >= (s.unit_start, s.line_index) AND c.unit <= s.unit_end)"""
 )
 
@@ -224,19 +224,25 @@ def q_section_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 #: conversations as files: the first turn is page one, the text of roles names forms where the numbers say so.
 _FILES = """files AS (SELECT conv_id, CASE conv_id % 7 WHEN 0 THEN 'Amendment of Solicitation / Modification of Contract' || chr(10) || 'Amendment/Modification No. ' || CAST(conv_id AS STRING)
   WHEN 1 THEN 'Solicitation,  Offer and Award' WHEN 2 THEN 'Combined Synopsis/Solicitation notice' WHEN 3 THEN 'Solicitation/Contract/Order for Commercial Items' WHEN 4 THEN '' ELSE text END AS page1_text,
-  CASE WHEN conv_id % 3 = 0 THEN 'amend_' ELSE 'file-' END || CAST(conv_id AS STRING) || '.pdf' AS filename FROM (SELECT conv_id, text FROM {0} WHERE turn = (SELECT min(turn) FROM {0})))"""
+  CASE WHEN conv_id % 3 = 0 THEN 'amend_' ELSE 'file-' END || CAST(conv_id AS STRING) || '.pdf' AS filename FROM (SELECT conv_id, arg_min(text, turn) AS text FROM conversations GROUP BY conv_id))"""
 
 
 def _role_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    sql = f"WITH {_FILES.replace('{0}', '{conversations}')} SELECT * FROM files"
-    rows = spark.sql(sql, conversations=ad.table(spark, sf_dir, "conversations").select("conv_id", "turn", "text"))
+    """Conversations as files: turns are pages, and what page one says names forms where the numbers say so."""
+    turns = ad.table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("file_id"), F.col("turn").alias("page_number"), "text", F.lit("ok").alias("quality"))
+    said = F.expr(
+        "CASE file_id % 7 WHEN 0 THEN concat('Amendment of Solicitation / Modification of Contract\n', 'Amendment/Modification No. ', CAST(file_id AS STRING)) WHEN 1 THEN 'Solicitation,  Offer and Award'"
+        " WHEN 2 THEN 'Combined Synopsis/Solicitation notice' WHEN 3 THEN 'Solicitation/Contract/Order for Commercial Items' WHEN 4 THEN '' ELSE page1_text END"
+    )
+    rows = classify.first_pages(turns).withColumn("page1_text", said)
+    name = F.concat(F.when(F.col("file_id") % 3 == 0, "amend_").otherwise("file-"), F.col("file_id").cast("string"), F.lit(".pdf"))
     ok = F.when(F.length("page1_text") < 20, "empty").otherwise("ok")
-    return rows.withColumns({"layout_text": F.lit(None).cast("string"), "page1_quality": ok, "file_type": F.lit("pdf"), "parse_status": F.lit("ok")})
+    return rows.withColumns({"conv_id": F.col("file_id"), "filename": name, "layout_text": F.lit(None).cast("string"), "page1_quality": ok, "file_type": F.lit("pdf"), "parse_status": F.lit("ok")})
 
 
 @register(
     "q_doc_role",
-    rf"""WITH {_FILES.replace('{0}', 'conversations')}, n AS (SELECT *, regexp_replace(upper(trim(regexp_replace(page1_text, '\s+', ' ', 'g'))), '\s*/\s*', '/', 'g') AS t FROM files),
+    rf"""WITH {_FILES}, n AS (SELECT *, regexp_replace(upper(trim(regexp_replace(page1_text, '\s+', ' ', 'g'))), '\s*/\s*', '/', 'g') AS t FROM files),
 f AS (SELECT *, CASE WHEN contains(t, 'SOLICITATION, OFFER AND AWARD') THEN 'sf33' WHEN contains(t, 'SOLICITATION/CONTRACT/ORDER FOR COMMERCIAL PRODUCTS AND COMMERCIAL SERVICES') OR contains(t, 'SOLICITATION/CONTRACT/ORDER FOR COMMERCIAL ITEMS') THEN 'sf1449' WHEN contains(t, 'AMENDMENT OF SOLICITATION/MODIFICATION OF CONTRACT') THEN 'sf30' END AS form,
   contains(t, 'COMBINED SYNOPSIS/SOLICITATION') OR contains(t, 'SUBPART 12.6') OR contains(t, 'FAR 12.603') AS syn, length(page1_text) < 20 OR trim(page1_text) = '' AS unusable,
   regexp_matches(regexp_replace(filename, '\.[^.]*$', ''), '(?i)(?:sf[\s_-]?30|amend|amdt|(?:^|[\s_-])mod(?:[\s_-]|\d|$)|(?:^|[\s_-])[ap]?\d{{4,6}}(?:[\s_-]|$))') AS named FROM n)
@@ -248,17 +254,24 @@ def q_doc_role(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classify.doc_roles(_role_files(spark, sf_dir)).select("conv_id", "form", "doc_role", "amendment_evidence", "amendment_number")
 
 
+_MISSING = {k: v.replace("'", "''") for k, v in classify.MISSING.items()}
+
+
 @register(
     "q_package_class",
-    f"""WITH {_STARTS}, n AS (SELECT 'P' || CAST(CAST(floor(CAST(substr(file_id, 2) AS INT) / 5) AS INT) AS VARCHAR) AS package_name, * FROM sects),
-o AS (SELECT package_name, file_id, max(unit_start) FILTER (letter = 'L') AS l, max(unit_start) FILTER (letter = 'M') AS m FROM n GROUP BY ALL),
-d AS (SELECT package_name, bool_or(coalesce(m < l, false)) AS disordered FROM o GROUP BY ALL),
-h AS (SELECT package_name, bool_or(letter = 'L') AS l, bool_or(letter = 'M') AS m, bool_or(letter = 'C') AS c FROM n GROUP BY ALL)
-SELECT package_name, CASE WHEN l AND m AND c THEN CASE WHEN disordered THEN 'partial_ucf' ELSE 'full_ucf' END ELSE 'partial_ucf' END AS classification FROM h JOIN d USING (package_name)""",
+    f"""WITH {_STARTS}, n AS (SELECT 'P' || CAST(CAST(floor(CAST(substr(file_id, 2) AS INT) / 5) AS INT) AS VARCHAR) AS package_name, CAST(substr(file_id, 2) AS INT) AS file_ord, * FROM sects),
+o AS (SELECT package_name, file_ord, file_id, max(unit_start) FILTER (letter = 'L') AS l, max(unit_start) FILTER (letter = 'M') AS m FROM n GROUP BY ALL),
+d AS (SELECT package_name, string_agg('Section M starts before Section L in ' || file_id || '.pdf; section ordering is not sane UCF order.', chr(10) ORDER BY file_ord) FILTER (m < l) AS disorder FROM o GROUP BY ALL),
+h AS (SELECT package_name, bool_or(letter = 'L') AS l, bool_or(letter = 'M') AS m, bool_or(letter = 'C') AS c,
+  coalesce(string_agg('Section ' || letter || ' found at pages ' || unit_start || '-' || unit_end || ' of ' || file_id || '.pdf', chr(10) ORDER BY file_ord, unit_start, line_index) FILTER (letter IN ('L', 'M', 'C')), '') AS evidence FROM n GROUP BY ALL)
+SELECT package_name, CASE WHEN l AND m AND c AND disorder IS NULL THEN 'full_ucf' ELSE 'partial_ucf' END AS classification, evidence,
+  concat_ws(chr(10), disorder, CASE WHEN NOT l THEN '{_MISSING["L"]}' END, CASE WHEN NOT m THEN '{_MISSING["M"]}' END, CASE WHEN NOT c THEN '{_MISSING["C"]}' END) AS warnings FROM h JOIN d USING (package_name)""",
 )
 def q_package_class(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """With all evidence and warnings, a line each."""
     files = ad.solicitation_files(spark, sf_dir).withColumns({c: F.lit(None).cast("string") for c in ("form", "form_source", "synopsis")})
-    return classify.package_class(files, _tree(spark, sf_dir)).select("package_name", "classification")
+    found = classify.package_class(files, _tree(spark, sf_dir))
+    return found.select("package_name", "classification", F.array_join("evidence", "\n").alias("evidence"), F.array_join("warnings", "\n").alias("warnings"))
 
 
 # --- chunks --------------------------------------------------------------------------------
@@ -299,25 +312,43 @@ def q_offset_to_page(spark: SparkSession, sf_dir: str) -> DataFrame:
     return asked.join(mapped, "file_id", "left").select("o_orderkey", grounding.page_for_offset(F.col("bands"), F.col("at")).alias("page"))
 
 
-@register(
-    "q_chunk_windows",
-    f"""WITH {_STARTS}, pg AS (SELECT file_id, page_number, string_agg(line, chr(10) ORDER BY line_index) AS text FROM lines GROUP BY ALL),
-c AS (SELECT s.file_id, letter, string_agg(text, chr(10) ORDER BY page_number) AS text, count(*) AS pages FROM sects s JOIN pg ON pg.file_id = s.file_id AND page_number BETWEEN unit_start AND unit_end GROUP BY ALL)
-SELECT file_id, letter AS section_label, pages, 'CHK-' || substr(sha256({_NORM.format('text')}), 1, 12) AS chunk_key FROM c WHERE length(text) <= 24000""",
+_TREE = (
+    _PARAS
+    + """, roles AS (SELECT c.* FROM cands c ANTI JOIN toc t ON c.file_id = t.file_id AND c.unit = t.unit WHERE signal = 'role_title' AND line_index < 10 AND c.file_id NOT IN (SELECT file_id FROM sects)),
+nodes_ AS (SELECT file_id, letter AS label, title, 0 AS depth, unit_start, unit_end, unit_start AS su, line_index AS sl, -1 AS pu, -1 AS pl, 'heading' AS detection FROM sects
+  UNION ALL SELECT p.file_id, p.label, p.title, p.d AS depth, p.unit, CAST(greatest(coalesce((SELECT min((n.unit, n.line_index)) FROM paras n WHERE n.file_id = p.file_id AND n.letter = p.letter AND n.d <= p.d AND (n.unit, n.line_index) > (p.unit, p.line_index))[1] - 1, p.st), p.unit) AS INT), sf, sl, p.unit, p.line_index, 'paragraph_numbering' FROM paras p
+  UNION ALL SELECT r.file_id, label, title, 0, unit, CAST(greatest(coalesce(lead(unit) OVER (PARTITION BY r.file_id ORDER BY unit, line_index) - 1, last_unit), unit) AS INT), unit, line_index, -1, -1, 'role_title' FROM roles r JOIN last l ON l.file_id = r.file_id),
+tree AS (SELECT *, row_number() OVER (PARTITION BY file_id ORDER BY su, sl, pu, pl) - 1 AS dfs_ord FROM nodes_)"""
 )
-def q_chunk_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sections that fit in one window, by their content key."""
-    tree = _tree(spark, sf_dir).where("detection = 'heading'")
-    rows = chunks.chunks(ad.solicitation_files(spark, sf_dir), tree, ad.solicitation_pages(spark, sf_dir))
-    count = F.count(F.lit(1)).over(Window.partitionBy("file_id", "dfs_ord"))
-    return rows.join(tree.select("file_id").distinct(), "file_id", "left_semi").withColumn("_n", count).where("_n = 1 and length(text) <= 24000").select("file_id", "section_label", F.size("page_map").cast("long").alias("pages"), "chunk_key")
 
 
-@register("q_chunk_windows_all")
-def q_chunk_windows_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+@register("q_section_tree", f"WITH {_TREE} SELECT file_id, CAST(dfs_ord AS INT) AS dfs_ord, label, title, CAST(depth AS INT) AS depth, unit_start, unit_end, detection FROM tree")
+def q_section_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All nodes, depth first."""
+    return _tree(spark, sf_dir).select("file_id", "dfs_ord", "label", "title", "depth", "unit_start", "unit_end", "detection")
+
+
+_CHUNKS = (
+    _TREE.replace("WITH ", "", 1)
+    + f""", pg AS (SELECT file_id, page_number, string_agg(line, chr(10) ORDER BY line_index) AS text FROM lines GROUP BY ALL),
+units AS (SELECT file_id, dfs_ord, label, depth, unit_start, unit_end FROM tree UNION ALL SELECT file_id, 0, file_id || '.pdf', 0, 1, last_unit FROM last WHERE file_id NOT IN (SELECT file_id FROM tree)),
+mine AS (SELECT u.file_id, dfs_ord, label, page_number, text, length(text) AS n, row_number() OVER w AS i, sum(length(text) + 1) OVER w AS cum, count(*) OVER (PARTITION BY u.file_id, dfs_ord) AS z
+  FROM units u JOIN pg ON pg.file_id = u.file_id AND page_number BETWEEN unit_start AND unit_end WINDOW w AS (PARTITION BY u.file_id, dfs_ord ORDER BY page_number)),
+reach AS (SELECT a.file_id, a.dfs_ord, a.i, any_value(a.z) AS z, greatest(a.i, max(b.i) FILTER (b.cum - a.cum + a.n <= {chunks.MOST_CHARS})) AS j FROM mine a JOIN mine b ON a.file_id = b.file_id AND a.dfs_ord = b.dfs_ord AND b.i >= a.i GROUP BY a.file_id, a.dfs_ord, a.i),
+win AS (SELECT file_id, dfs_ord, 0 AS window_ord, i, j, z FROM reach WHERE i = 1 UNION ALL SELECT r.file_id, r.dfs_ord, w.window_ord + 1, r.i, r.j, r.z FROM win w JOIN reach r ON r.file_id = w.file_id AND r.dfs_ord = w.dfs_ord AND r.i = greatest(w.j, w.i + 1) WHERE w.j < w.z),
+chunks_ AS (SELECT w.file_id, w.dfs_ord, window_ord, any_value(label) AS section_label, string_agg(text, chr(10) ORDER BY m.i) AS text, count(*) AS pages, min(page_number) AS first_page FROM win w JOIN mine m ON m.file_id = w.file_id AND m.dfs_ord = w.dfs_ord AND m.i BETWEEN w.i AND w.j GROUP BY ALL),
+keyed_ AS (SELECT *, 'CHK-' || substr(sha256({_NORM.format('text')}), 1, 12) AS chunk_key FROM chunks_)"""
+)
+
+
+def _chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chunks.chunks(ad.solicitation_files(spark, sf_dir), _tree(spark, sf_dir), ad.solicitation_pages(spark, sf_dir))
+
+
+@register("q_chunk_windows", f"WITH RECURSIVE {_CHUNKS} SELECT file_id, CAST(dfs_ord AS INT) AS dfs_ord, CAST(window_ord AS INT) AS window_ord, section_label, pages, chunk_key FROM keyed_")
+def q_chunk_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All windows of all nodes, and of whole files where they have none."""
-    rows = chunks.chunks(ad.solicitation_files(spark, sf_dir), _tree(spark, sf_dir), ad.solicitation_pages(spark, sf_dir))
-    return rows.select("file_id", "dfs_ord", "window_ord", "section_label", F.size("page_map").cast("long").alias("pages"), "chunk_key")
+    return _chunks(spark, sf_dir).select("file_id", "dfs_ord", "window_ord", "section_label", F.size("page_map").cast("long").alias("pages"), "chunk_key")
 
 
 # --- grounding and ids -------------------------------------------------------------------------
@@ -424,83 +455,81 @@ def q_requirement_types(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _STRONG = "CASE " + " ".join(f"WHEN list_contains(ks, '{w}') THEN '{w}'" for w in language.STRENGTH) + " END"
+_WORD = r"[^\s\x02]*"
+#: A break after an abbreviation, or after a word with a dot and a digit, is held back by a mark; twice, as neighbours share a space.
+_GUARD = rf"'((?:^|[\s\x02])(?:(?i:{'|'.join(a.replace('.', chr(92) + '.') for a in language.ABBREVIATIONS)})\.*|{_WORD}\.{_WORD}[0-9]{_WORD}|{_WORD}[0-9]{_WORD}\.{_WORD})[.?!])\s'"
+_HELD = f"regexp_replace({{0}}, {_GUARD}, '\\1' || chr(2), 'g')"
+_CUT = r"list_filter(list_transform(string_split(regexp_replace({0}, '([.?!])\s+', '\1' || chr(1), 'g'), chr(1)), lambda s: trim(replace(s, chr(2), ' '))), lambda s: s <> '')".format(_HELD.format(_HELD.format(_NORM.format("text"))))
 _HITS = (
     _PAGES
-    + rf""", sent AS (SELECT file_id, page_number AS page, list_filter(list_transform(string_split(regexp_replace({_NORM.format('text')}, '([.?!])\s+', '\1' || chr(1), 'g'), chr(1)), lambda s: trim(s)), lambda s: s <> '') AS ss FROM pages_),
+    + rf""", sent AS (SELECT file_id, page_number AS page, {_CUT} AS ss FROM pages_),
 flat AS (SELECT file_id, page, unnest(ss) AS sentence, unnest(range(0, len(ss))) AS hit_idx FROM sent),
 kw AS (SELECT *, list_transform(regexp_extract_all(sentence, '(?i)\b({'|'.join(language.BINDING)})\b', 1), lambda x: lower(x)) AS ks FROM flat),
 hits AS (SELECT file_id, page, CAST(hit_idx AS INT) AS hit_idx, sentence, {_STRONG} AS binding_keyword FROM kw WHERE len(ks) > 0)"""
 )
 
 
-def _hits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sweep.sweep_hits(ad.solicitation_pages(spark, sf_dir), abbreviations=("zz",))
-
-
 @register("q_sweep_hits", f"WITH {_HITS} SELECT * FROM hits")
 def q_sweep_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Without dotted numbers before breaks the guard has nothing to hold back, as in the SQL."""
-    pages = ad.solicitation_pages(spark, sf_dir)
-    return sweep.sweep_hits(pages, abbreviations=("zz",))
+    """All sentences with a binding keyword; abbreviations and numbered clauses end none."""
+    return sweep.sweep_hits(ad.solicitation_pages(spark, sf_dir))
 
 
-_COVER = f"WITH {_HITS}, {_REQS[len(_LINES) + 2:]}, n AS (SELECT *, {_NORM.format('verbatim_text')} AS v FROM reqs), pairs AS (SELECT n.requirement_id, h.* FROM n JOIN hits h ON n.page = h.page AND n.file_id = h.file_id AND (contains(v, sentence) OR contains(sentence, v)))"
+_COVER = f"WITH {_HITS}, {_REQS[len(_LINES) + 2:]}, n AS (SELECT *, {_NORM.format('verbatim_text')} AS v FROM reqs), pairs AS (SELECT n.requirement_id, h.* FROM n JOIN hits h ON n.page = h.page AND (contains(v, sentence) OR contains(sentence, v)))"
+_COVER_FILE = _COVER.replace("ON n.page = h.page", "ON n.page = h.page AND n.file_id = h.file_id")
+_RECONCILED = ", first AS (SELECT requirement_id, arg_min(binding_keyword, (file_id, hit_idx)) AS swept FROM pairs GROUP BY 1) SELECT r.requirement_id, coalesce(swept, 'none') AS binding_keyword FROM reqs r LEFT JOIN first USING (requirement_id)"
+_MISSED = " SELECT h.file_id, h.page, h.hit_idx, h.binding_keyword FROM hits h ANTI JOIN pairs p ON h.file_id = p.file_id AND h.page = p.page AND h.hit_idx = p.hit_idx"
+_OVER = " SELECT requirement_id FROM reqs ANTI JOIN pairs USING (requirement_id)"
 
 
-@register(
-    "q_reconcile",
-    _COVER + " SELECT r.requirement_id, coalesce((SELECT arg_min(binding_keyword, hit_idx) FROM pairs p WHERE p.requirement_id = r.requirement_id), 'none') AS binding_keyword FROM reqs r",
-)
+def _reconciled(spark: SparkSession, sf_dir: str, match_file: bool = False) -> tuple[DataFrame, DataFrame]:
+    updated, missed = sweep.reconcile(ad.solicitation_requirements(spark, sf_dir), q_sweep_hits(spark, sf_dir), match_file)
+    return updated.select("requirement_id", "binding_keyword"), missed.select("file_id", "page", "hit_idx", "binding_keyword")
+
+
+@register("q_reconcile", _COVER + _RECONCILED)
 def q_reconcile(spark: SparkSession, sf_dir: str) -> DataFrame:
-    updated, _ = sweep.reconcile(ad.solicitation_requirements(spark, sf_dir), _hits(spark, sf_dir), match_file=True)
-    return updated.select("requirement_id", "binding_keyword")
+    """By the page alone, over all files: the default."""
+    return _reconciled(spark, sf_dir)[0]
 
 
-@register("q_missed", _COVER.replace("pairs AS (SELECT n.requirement_id, h.* FROM n JOIN", "pairs AS (SELECT n.requirement_id, h.* FROM (SELECT * FROM n WHERE verified) n JOIN") + " SELECT h.file_id, h.page, h.hit_idx, h.binding_keyword FROM hits h ANTI JOIN pairs p ON h.file_id = p.file_id AND h.page = p.page AND h.hit_idx = p.hit_idx")
+@register("q_missed", _COVER + _MISSED)
 def q_missed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    _, missed = sweep.reconcile(ad.solicitation_requirements(spark, sf_dir).where("verified"), _hits(spark, sf_dir), match_file=True)
-    return missed.select("file_id", "page", "hit_idx", "binding_keyword")
+    return _reconciled(spark, sf_dir)[1]
 
 
-@register("q_over_extracted", _COVER + " SELECT requirement_id FROM reqs ANTI JOIN pairs USING (requirement_id)")
+@register("q_over_extracted", _COVER + _OVER)
 def q_over_extracted(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sweep.over_extractions(ad.solicitation_requirements(spark, sf_dir), _hits(spark, sf_dir), match_file=True).select("requirement_id")
-
+    return sweep.over_extractions(ad.solicitation_requirements(spark, sf_dir), q_sweep_hits(spark, sf_dir)).select("requirement_id")
 
-# the same by the page alone, over all files and all requirements
 
-_COVER_PAGES = _COVER.replace(" AND n.file_id = h.file_id", "")
+# the same inside each file: the option match_file
 
 
-@register(
-    "q_reconcile_pages",
-    _COVER_PAGES + ", first AS (SELECT requirement_id, arg_min(binding_keyword, (file_id, hit_idx)) AS swept FROM pairs GROUP BY 1) SELECT r.requirement_id, coalesce(swept, 'none') AS binding_keyword FROM reqs r LEFT JOIN first USING (requirement_id)",
-)
-def q_reconcile_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    updated, _ = sweep.reconcile(ad.solicitation_requirements(spark, sf_dir), _hits(spark, sf_dir))
-    return updated.select("requirement_id", "binding_keyword")
+@register("q_reconcile_file", _COVER_FILE + _RECONCILED)
+def q_reconcile_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _reconciled(spark, sf_dir, True)[0]
 
 
-@register("q_missed_pages", _COVER_PAGES + " SELECT h.file_id, h.page, h.hit_idx, h.binding_keyword FROM hits h ANTI JOIN pairs p ON h.file_id = p.file_id AND h.page = p.page AND h.hit_idx = p.hit_idx")
-def q_missed_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    _, missed = sweep.reconcile(ad.solicitation_requirements(spark, sf_dir), _hits(spark, sf_dir))
-    return missed.select("file_id", "page", "hit_idx", "binding_keyword")
+@register("q_missed_file", _COVER_FILE + _MISSED)
+def q_missed_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _reconciled(spark, sf_dir, True)[1]
 
 
-@register("q_over_extracted_pages", _COVER_PAGES + " SELECT requirement_id FROM reqs ANTI JOIN pairs USING (requirement_id)")
-def q_over_extracted_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sweep.over_extractions(ad.solicitation_requirements(spark, sf_dir), _hits(spark, sf_dir)).select("requirement_id")
+@register("q_over_extracted_file", _COVER_FILE + _OVER)
+def q_over_extracted_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sweep.over_extractions(ad.solicitation_requirements(spark, sf_dir), q_sweep_hits(spark, sf_dir), match_file=True).select("requirement_id")
 
 
 @register(
     "q_amend_affects",
     rf"""WITH {_REQS}, ch AS (SELECT requirement_id AS cid, upper(unnest(list_distinct(regexp_extract_all(verbatim_text, '(?i)\b(?:Section|Clause|Paragraph|Provision)\s+([A-Z](?:\.[0-9]+)*(?:\.[0-9]+)?)', 1)))) AS ref FROM reqs WHERE doc_role = 'amendment' AND regexp_matches(verbatim_text, '(?i)is\s+(?:hereby\s+)?(?:changed|revised|amended|deleted|added|replaced)')),
 hit AS (SELECT DISTINCT r.requirement_id, cid FROM reqs r JOIN ch ON r.requirement_id <> cid AND (ref = section_label OR starts_with(ref, section_label || '.') OR starts_with(section_label, ref || '.')))
-SELECT requirement_id, count(*) AS n_changes, min(cid) AS first_change FROM hit GROUP BY 1""",
+SELECT requirement_id, count(*) AS n_changes, min(cid) AS first_change, sha256(string_agg(cid, ',' ORDER BY cid)) AS affects_sha256 FROM hit GROUP BY 1""",
 )
 def q_amend_affects(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = amendments.flag_amendments(ad.solicitation_requirements(spark, sf_dir)).where("possibly_modified")
-    return rows.select("requirement_id", F.size("affects").cast("long").alias("n_changes"), F.get("affects", F.lit(0)).alias("first_change"))
+    return rows.select("requirement_id", F.size("affects").cast("long").alias("n_changes"), F.get("affects", F.lit(0)).alias("first_change"), F.sha2(F.array_join("affects", ","), 256).alias("affects_sha256"))
 
 
 # --- analysis ------------------------------------------------------------------------------------
@@ -583,13 +612,14 @@ def q_crossmap_fuzzy(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register(
     "q_factor_titles",
-    rf"""WITH {_STARTS}, t AS (SELECT s.file_id, l.page_number, l.line_index, l.line FROM sects s JOIN lines l ON l.file_id = s.file_id AND l.page_number BETWEEN unit_start AND unit_end WHERE s.letter IN ('L', 'M') AND kind = 9),
-f AS (SELECT regexp_extract(line, 'Factor\s+(\d+)', 1) AS number, regexp_replace(trim(regexp_extract(line, 'Factor\s+\d+\s*[-–—:]\s*([A-Z][A-Za-z][A-Za-z /&''-]{{2,40}})', 1)), '[ \-–—:,]+$', '') AS title FROM t)
-SELECT number, max(length(title)) AS chars FROM f GROUP BY number""",
+    rf"""WITH {_STARTS}, t AS (SELECT s.file_id, s.unit_start, s.line_index AS sl_, l.page_number, l.line_index, l.line FROM sects s JOIN lines l ON l.file_id = s.file_id AND l.page_number BETWEEN unit_start AND unit_end WHERE s.letter IN ('L', 'M') AND kind = 9),
+f AS (SELECT *, regexp_extract(line, 'Factor\s+(\d+)', 1) AS number, regexp_replace(trim(regexp_extract(line, 'Factor\s+\d+\s*[-–—:]\s*([A-Z][A-Za-z][A-Za-z /&''-]{{2,40}})', 1)), '[ \-–—:,]+$', '') AS title FROM t),
+o AS (SELECT *, row_number() OVER (PARTITION BY number ORDER BY length(title) DESC, file_id, unit_start, sl_, page_number, line_index) AS n FROM f)
+SELECT number, title FROM o WHERE n = 1""",
 )
 def q_factor_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
     texts = outline.section_texts(_tree(spark, sf_dir), ad.solicitation_pages(spark, sf_dir))
-    return outline.factor_titles(texts, ["file_id", "dfs_ord", "page_number"]).select("number", F.length("title").cast("long").alias("chars"))
+    return outline.factor_titles(texts, ["file_id", "dfs_ord", "page_number"])
 
 
 #: An outline of two factors and a few paragraphs, for placing.
@@ -638,7 +668,7 @@ def q_judgment_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # --- scoring ----------------------------------------------------------------------------------------
 
-_SCORED = f"""WITH {_LINES}, p AS (SELECT k AS pred_ord, file_id, page_number AS page, line AS t FROM lines WHERE kind IN (6, 7, 13) AND k % 4 > 0), g AS (SELECT k AS gold_ord, file_id, page_number AS page, line AS t FROM lines WHERE kind IN (6, 13, 14) AND k % 3 > 0 AND page_number % 2 = 0),
+_SCORED = f"""WITH {_LINES}, p AS (SELECT k AS pred_ord, file_id, page_number AS page, line AS t FROM lines WHERE kind IN (6, 7, 13)), g AS (SELECT k AS gold_ord, file_id, page_number AS page, line AS t FROM lines WHERE (kind = 6 AND letter IN ('A', 'B', 'C')) OR (kind = 14 AND letter = 'D')),
 s AS (SELECT p.* FROM p SEMI JOIN g ON p.file_id = g.file_id AND p.page = g.page),
 cp AS (SELECT file_id, page, t, count(*) AS n FROM s GROUP BY ALL), cg AS (SELECT file_id, page, t, count(*) AS n FROM g GROUP BY ALL),
 m AS (SELECT CAST(coalesce(sum(least(cp.n, cg.n)), 0) AS BIGINT) AS matched FROM cp JOIN cg USING (file_id, page, t)),
@@ -646,9 +676,10 @@ one AS (SELECT matched, (SELECT count(*) FROM s) AS np, (SELECT count(*) FROM g)
 
 
 def _score_sides(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """All lines of some kinds as predictions; those of some kinds and sections as golden rows."""
     rows = ad.solicitation_lines(spark, sf_dir)
     side = lambda name, keep: rows.where(keep).select(F.col("k").alias(name), "file_id", F.col("page_number").alias("page"), F.col("line").alias("verbatim_text"))
-    return side("pred_ord", "kind in (6, 7, 13) and k % 4 > 0"), side("gold_ord", "kind in (6, 13, 14) and k % 3 > 0 and page_number % 2 = 0")
+    return side("pred_ord", "kind in (6, 7, 13)"), side("gold_ord", "(kind = 6 and letter in ('A', 'B', 'C')) or (kind = 14 and letter = 'D')")
 
 
 def _equal(a: Column, b: Column) -> Column:
@@ -676,11 +707,11 @@ def q_score_fuzzy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumns({c: F.round(c, 9) for c in ("precision", "recall", "f1")})
 
 
-@register("q_unverified", _SCORED + ", d AS (SELECT DISTINCT file_id, page_number AS page FROM lines) SELECT * FROM d EXCEPT SELECT file_id, page FROM g EXCEPT SELECT file_id, page FROM p WHERE page % 3 = 0")
+@register("q_unverified", _SCORED + ", d AS (SELECT DISTINCT file_id, page_number AS page FROM lines) SELECT * FROM d EXCEPT SELECT file_id, page FROM g EXCEPT SELECT file_id, page FROM p")
 def q_unverified(spark: SparkSession, sf_dir: str) -> DataFrame:
     preds, golds = _score_sides(spark, sf_dir)
     ranges = ad.solicitation_lines(spark, sf_dir).groupBy("file_id").agg(F.collect_set("page_number").alias("pages"))
-    return scoring.unverified_pages(ranges, golds, preds.where("page % 3 = 0"))
+    return scoring.unverified_pages(ranges, golds, preds)
 
 
 # --- matrix, reports, records ---------------------------------------------------------------------------
@@ -741,3 +772,6 @@ def q_strict_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Event properties as recorded lines, keyed by their whole text."""
     lines = ad.table(spark, sf_dir, "events").select(F.col("event_id").alias("line_number"), F.to_json(F.struct(F.col("props").alias("chunk_key"))).alias("line"))
     return records.checked(lines, records.DRAFTS, "chunk_key").select("line_number", "reason")
+
+
+from . import catalogue_package  # noqa: E402, F401  registers the operators of whole packages
