@@ -295,9 +295,11 @@ def q_window_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("q_page_map", f"WITH {_SIZES} SELECT file_id, p AS page, CAST(cum - n - 1 AS INT) AS char_start, CAST(cum - 1 AS INT) AS char_end FROM s")
 def q_page_map(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = ad.document_pages(spark, sf_dir).select("file_id", "page_number", "text")
-    mapped = pages.groupBy("file_id").agg(chunks.page_map(F.array_sort(F.collect_list(F.struct("page_number", "text")))).alias("bands"))
-    return mapped.select("file_id", F.inline("bands")).select("file_id", "page", "char_start", "char_end")
+    return _bands(spark, sf_dir).select("file_id", "page", F.col("char_start").cast("int").alias("char_start"), F.col("char_end").cast("int").alias("char_end"))
+
+
+def _bands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chunks.page_bands(ad.document_pages(spark, sf_dir).select("file_id", "page_number", F.length("text").alias("n_chars")))
 
 
 @register(
@@ -306,10 +308,8 @@ def q_page_map(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT o_orderkey, (SELECT max(p) FROM s WHERE s.file_id = q.file_id AND cum - n - 1 <= spot) AS page FROM q""",
 )
 def q_offset_to_page(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = ad.document_pages(spark, sf_dir).select("file_id", "page_number", "text")
-    mapped = pages.groupBy("file_id").agg(chunks.page_map(F.array_sort(F.collect_list(F.struct("page_number", "text")))).alias("bands"))
     asked = ad.table(spark, sf_dir, "orders").select("o_orderkey", F.concat(F.lit("src"), (F.col("o_orderkey") % 20).cast("string")).alias("file_id"), ((F.col("o_custkey") * 7919) % 120000).alias("at"))
-    return asked.join(mapped, "file_id", "left").select("o_orderkey", grounding.page_for_offset(F.col("bands"), F.col("at")).alias("page"))
+    return grounding.pages_for_offsets(asked, _bands(spark, sf_dir)).select("o_orderkey", "page")
 
 
 _TREE = (
@@ -701,12 +701,6 @@ def q_score_scoped(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scoring.in_footprint(preds, golds, inside=False).select("pred_ord")
 
 
-@register("q_score_fuzzy")
-def q_score_fuzzy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = scoring.score(*_score_sides(spark, sf_dir))
-    return found.withColumns({c: F.round(c, 9) for c in ("precision", "recall", "f1")})
-
-
 @register("q_unverified", _SCORED + ", d AS (SELECT DISTINCT file_id, page_number AS page FROM lines) SELECT * FROM d EXCEPT SELECT file_id, page FROM g EXCEPT SELECT file_id, page FROM p")
 def q_unverified(spark: SparkSession, sf_dir: str) -> DataFrame:
     preds, golds = _score_sides(spark, sf_dir)

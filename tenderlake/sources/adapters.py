@@ -9,10 +9,24 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Ids of a bucket: documents of one source and bucket are numbered in one task.
+BUCKET_IDS = 10_000
+
+
 def document_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """documents as pages: a source is a file, its documents by id are its pages."""
-    number = F.row_number().over(Window.partitionBy("source").orderBy("doc_id"))
-    return table(spark, sf_dir, "documents").select("doc_id", "lang", F.col("source").alias("file_id"), number.alias("page_number"), "text", F.col("n_chars").alias("char_count"), F.lit(None).cast("map<string,double>").alias("metrics"))
+    """documents as pages: a source is a file, its documents by id are its pages.
+
+    Numbered in two steps, so that no task holds a source: places inside a bucket of ids,
+    and sums of the buckets before it.
+    """
+    bucket = F.floor(F.col("doc_id") / BUCKET_IDS).alias("_bucket")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", F.col("source").alias("file_id"), "text", F.col("n_chars").alias("char_count"), bucket)
+    counts = docs.groupBy("file_id", "_bucket").agg(F.count(F.lit(1)).alias("_n"))
+    before = F.sum("_n").over(Window.partitionBy("file_id").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1))
+    offsets = counts.select("file_id", "_bucket", F.coalesce(before, F.lit(0)).alias("_before"))
+    place = F.row_number().over(Window.partitionBy("file_id", "_bucket").orderBy("doc_id"))
+    rows = docs.withColumn("_place", place).join(offsets, ["file_id", "_bucket"])
+    return rows.select("doc_id", "lang", "file_id", (F.col("_before") + F.col("_place")).cast("int").alias("page_number"), "text", "char_count", F.lit(None).cast("map<string,double>").alias("metrics"))
 
 
 #: orders as lines of a solicitation, in SQL that Spark and the oracle share: an order is a line, its key gives file and page.

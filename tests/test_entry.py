@@ -32,7 +32,7 @@ def test_entry_without_the_corpus_operators(tmp_path):
 
 
 @pytest.mark.skipif(not os.path.isdir(SMALL), reason="needs the test tables")
-@pytest.mark.parametrize("name", ["q_quality_gate", "q_window_pack", "q_derive_outline", "q_crossmap_fuzzy", "q_ground_fuzzy", "q_score_fuzzy"])
+@pytest.mark.parametrize("name", ["q_quality_gate", "q_window_pack", "q_derive_outline", "q_crossmap_fuzzy", "q_ground_fuzzy"])
 def test_queries_run(spark, name):
     import __spark_entry__ as entry
 

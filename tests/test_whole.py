@@ -48,9 +48,9 @@ def test_sweep_goes_by_the_page_over_all_files(spark):
                 first.setdefault(r.requirement_id, (word, file_id, r.file_id))
                 covered.add((file_id, page, i))
     assert any(here != of for _, here, of in first.values())
-    assert {r.requirement_id: r.binding_keyword for r in query(spark, "q_reconcile_pages").collect()} == {r.requirement_id: first.get(r.requirement_id, ("none",))[0] for r in rows}
-    assert {r.requirement_id for r in query(spark, "q_over_extracted_pages").collect()} == {r.requirement_id for r in rows} - set(first)
-    assert {(r.file_id, r.page, r.hit_idx) for r in query(spark, "q_missed_pages").collect()} == {h[:3] for h in hits} - covered
+    assert {r.requirement_id: r.binding_keyword for r in query(spark, "q_reconcile").collect()} == {r.requirement_id: first.get(r.requirement_id, ("none",))[0] for r in rows}
+    assert {r.requirement_id for r in query(spark, "q_over_extracted").collect()} == {r.requirement_id for r in rows} - set(first)
+    assert {(r.file_id, r.page, r.hit_idx) for r in query(spark, "q_missed").collect()} == {h[:3] for h in hits} - covered
 
 
 @pytest.mark.skipif(not os.path.isdir(LARGE), reason="needs the test tables")
@@ -68,5 +68,5 @@ def test_chunks_are_all_windows_of_all_nodes(spark):
             for i, (a, b) in enumerate(greedy([len(t) for t in mine], 24_000)):
                 text = re.sub(r"\s+", " ", re.sub(r"(\w)-\s*\n\s*(\w)", r"\1\2", "\n".join(mine[a : b + 1]))).strip()
                 want.append((file_id, dfs_ord, i, label, b - a + 1, "CHK-" + hashlib.sha256(text.encode()).hexdigest()[:12]))
-    got = [tuple(r) for r in query(spark, "q_chunk_windows_all", LARGE).collect()]
+    got = [tuple(r) for r in query(spark, "q_chunk_windows", LARGE).collect()]
     assert any(r[2] > 0 for r in want) and sorted(got) == sorted(want)
