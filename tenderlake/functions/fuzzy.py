@@ -6,6 +6,8 @@ holds a row of the table, so a comparison costs one step per character of a side
 
 from __future__ import annotations
 
+from collections import Counter
+
 import pandas as pd
 from pyspark.sql.functions import pandas_udf
 from pyspark.sql import types as T
@@ -63,14 +65,27 @@ def partial_alignment(query: str, text: str, floor: float = 0.0) -> tuple[float,
     m, n = len(short), len(long)
     if not m:
         return None
-    masks, letters = _masks(short), set(short)
+    masks = _masks(short)
+    # characters that window and short text have in common, kept up while it slides: no subsequence is longer
+    need, have, shared = Counter(short), Counter(), 0
     best: tuple[float, int, int] | None = None
     for start in range(1 - m, n):
         low, high = max(0, start), min(n, start + m)
+        if start + m <= n:
+            c = long[high - 1]
+            have[c] += 1
+            shared += have[c] <= need[c]
+        if start > 0:
+            c = long[start - 1]
+            shared -= have[c] <= need[c]
+            have[c] -= 1
         # a window that starts or ends with a foreign character is never better than a shorter one
-        if long[high - 1] not in letters and start > 0:
+        if start > 0 and long[high - 1] not in need:
+            continue
+        size = m + high - low
+        if 200.0 * shared / size < floor or (best is not None and 200.0 * shared / size <= best[0]):
             continue
-        score = 200.0 * _common(masks, m, long[low:high]) / (m + high - low)
+        score = 200.0 * _common(masks, m, long[low:high]) / size
         if score >= floor and (best is None or score > best[0]):
             best = (score, low, high)
             if score == 100.0:
@@ -88,8 +103,12 @@ def token_set_similarity(a: pd.Series, b: pd.Series) -> pd.Series:
 ALIGNMENT = T.StructType([T.StructField("score", T.DoubleType()), T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())])
 
 
-@pandas_udf(ALIGNMENT)
-def aligned(query: pd.Series, text: pd.Series) -> pd.DataFrame:
-    """Best alignment of query in text; nulls where either is null or empty."""
-    rows = [partial_alignment(q, t) if q and t else None for q, t in zip(query, text)]
-    return pd.DataFrame([r or (None, None, None) for r in rows], columns=["score", "start", "end"]).astype({"score": "float64", "start": "Int32", "end": "Int32"})
+def aligned(floor: float = 0.0):
+    """A function of (query, text): their best alignment; nulls where either is null or empty, or nothing reaches the floor."""
+
+    @pandas_udf(ALIGNMENT)
+    def align(query: pd.Series, text: pd.Series) -> pd.DataFrame:
+        rows = [partial_alignment(q, t, floor) if q and t else None for q, t in zip(query, text)]
+        return pd.DataFrame([r or (None, None, None) for r in rows], columns=["score", "start", "end"]).astype({"score": "float64", "start": "Int32", "end": "Int32"})
+
+    return align

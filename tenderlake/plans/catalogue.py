@@ -10,7 +10,7 @@ from ..functions import language, text as tx
 from ..operators import amendments, chunks, classify, crossmap, extraction, factors, grounding, judgments, outline, quality, scoring, sections, sweep
 from ..sources import adapters as ad
 from ..sources import records
-from . import export, reports
+from . import export, reports, store
 
 Query = Callable[[SparkSession, str], DataFrame]
 _queries: dict[str, Query] = {}
@@ -342,7 +342,9 @@ keyed_ AS (SELECT *, 'CHK-' || substr(sha256({_NORM.format('text')}), 1, 12) AS
 
 
 def _chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return chunks.chunks(ad.solicitation_files(spark, sf_dir), _tree(spark, sf_dir), ad.solicitation_pages(spark, sf_dir))
+    # read several times each: written once, as a parsed package is
+    files, tree, pages = (store.stored(df, name) for df, name in ((ad.solicitation_files(spark, sf_dir), "files"), (_tree(spark, sf_dir), "sections"), (ad.solicitation_pages(spark, sf_dir), "pages")))
+    return chunks.chunks(files, tree, pages)
 
 
 @register("q_chunk_windows", f"WITH RECURSIVE {_CHUNKS} SELECT file_id, CAST(dfs_ord AS INT) AS dfs_ord, CAST(window_ord AS INT) AS window_ord, section_label, pages, chunk_key FROM keyed_")

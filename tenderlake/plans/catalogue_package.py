@@ -244,9 +244,9 @@ def q_truncate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _package(spark: SparkSession, sf_dir: str) -> Package:
-    files, pages = ad.solicitation_files(spark, sf_dir), ad.solicitation_pages(spark, sf_dir)
+    files, pages = store.stored(ad.solicitation_files(spark, sf_dir), "files"), store.stored(ad.solicitation_pages(spark, sf_dir), "pages")
     blocks = spark.createDataFrame([], "file_id string, ordinal int, kind string, text string, style string, table array<array<string>>")
-    tree = base._tree(spark, sf_dir)
+    tree = store.stored(base._tree(spark, sf_dir), "sections")
     shaped = files.withColumns({c: F.lit(None).cast("string") for c in ("form", "form_source", "synopsis")})
     return Package(files, pages, blocks, tree, quality.running_lines(pages), classify.package_class(shaped, tree))
 
@@ -367,7 +367,7 @@ aff AS (SELECT requirement_id, string_agg(cid, ',' ORDER BY spot) AS affects FRO
 
 def _extraction(spark: SparkSession, sf_dir: str):
     package = _package(spark, sf_dir)
-    rows = store.stored(base._chunks(spark, sf_dir), "chunks")
+    rows = store.stored(chunks.chunks(package.files, package.sections, package.pages), "chunks")
     return run_extraction(package, store.stored(_recorded(spark, sf_dir, rows), "drafts"))
 
 
@@ -423,7 +423,8 @@ every AS (SELECT 0 AS rk, 0 AS sub, 'VOL-NONPRICE' AS node_id, 'Non-Price Propos
 SELECT node_id, title, volume, parent_node_id, source_page, CAST(row_number() OVER (ORDER BY rk, sub) - 1 AS INT) AS node_ord FROM every""",
 )
 def q_derive_outline(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return outline.derive_outline(ad.solicitation_files(spark, sf_dir), base._tree(spark, sf_dir), ad.solicitation_pages(spark, sf_dir))
+    package = _package(spark, sf_dir)
+    return outline.derive_outline(package.files, package.sections, package.pages)
 
 
 # --- similarity and scoring ---------------------------------------------------------------------------------

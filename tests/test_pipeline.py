@@ -329,3 +329,35 @@ def test_ids_order_and_occurrence(spark):
     df = spark.createDataFrame([("b", i, p, 6) for i, p in rows], "b string, draft_idx int, parent_index int, n_drafts int")
     got = {r.draft_idx: (r.root_idx, r.atomic_ord) for r in extraction.atomic_ordinals(extraction.root_index(df, ["b"]), ["b"]).collect()}
     assert got == {0: (0, 0), 1: (0, 1), 2: (0, 2), 3: (3, 0), 4: (4, 0), 5: (5, 0)}
+
+
+def test_bands_and_offsets_of_long_files(spark, monkeypatch):
+    """In small blocks and stretches, against the array forms."""
+    import random
+
+    monkeypatch.setattr(chunks, "BLOCK_PAGES", 3)
+    monkeypatch.setattr(grounding, "STRETCH", 16)
+    rng = random.Random(7)
+    rows = [(f, p, "x" * rng.choice([0, 1, 5, 40])) for f in "ab" for p in range(1, 30)]
+    pages = spark.createDataFrame(rows, "file_id string, page_number int, text string")
+    bands = chunks.page_bands(pages.withColumn("n_chars", F.length("text")))
+    mapped = pages.groupBy("file_id").agg(chunks.page_map(F.array_sort(F.collect_list(F.struct("page_number", "text")))).alias("m"))
+    want = sorted((r.file_id, b.page, b.char_start, b.char_end) for r in mapped.collect() for b in r.m)
+    assert sorted((r.file_id, r.page, r.char_start, r.char_end) for r in bands.collect()) == want
+    asked = spark.createDataFrame([(f, i) for f in "abc" for i in range(-2, 900, 7)], "file_id string, at long")
+    plain = asked.join(mapped, "file_id", "left").select("file_id", "at", grounding.page_for_offset(F.col("m"), F.col("at")).alias("page"))
+    assert sorted(map(tuple, grounding.pages_for_offsets(asked, bands).select("file_id", "at", "page").collect()), key=str) == sorted(map(tuple, plain.collect()), key=str)
+
+
+def test_guarded_sentences(spark):
+    from tenderlake.functions.language import sentences
+
+    cases = {
+        "See no. 5 of sec. L.2. It shall go. Stop": ["See no. 5 of sec. L.2. It shall go.", "Stop"],
+        "e.g. i.e. etc. one. Two? no? Yes!": ["e.g. i.e. etc. one.", "Two?", "no? Yes!"],
+        "Version 3.1. next. 3. end": ["Version 3.1. next.", "3.", "end"],
+        "": [],
+        "... ! a": ["...", "!", "a"],
+    }
+    df = spark.createDataFrame([(t,) for t in cases], "t string")
+    assert {r.t: r.s for r in df.select("t", sentences(F.col("t")).alias("s")).collect()} == cases

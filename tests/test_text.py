@@ -102,3 +102,19 @@ def test_keywords_by_strength(spark):
 def test_actor(spark):
     texts = ["The offeror shall submit", "The Government will evaluate the offeror's plan", "Submit the form", "please submit", "award will be made"]
     assert one(spark, texts, actor(F.col("v"))) == ["offeror", "government", "offeror", "other", "government"]
+
+
+def test_partial_alignment_is_the_best_window():
+    """Against every window, scored one by one."""
+    import random
+
+    from tenderlake.functions.fuzzy import partial_alignment, ratio
+
+    rng = random.Random(5)
+    for _ in range(400):
+        a, b = "".join(rng.choice("abc d") for _ in range(rng.randint(1, 8))), "".join(rng.choice("abc dz") for _ in range(rng.randint(8, 30)))
+        windows = [(ratio(a, b[max(0, i) : min(len(b), i + len(a))]), max(0, i), min(len(b), i + len(a))) for i in range(1 - len(a), len(b))]
+        best = max(w[0] for w in windows)
+        for floor in (0.0, 60.0, 92.0):
+            got = partial_alignment(a, b, floor)
+            assert (got is None) == (best < floor) and (got is None or abs(got[0] - best) < 1e-9 and abs(ratio(a, b[got[1] : got[2]]) - best) < 1e-9)
