@@ -79,8 +79,9 @@ def partial_alignment(query: str, text: str, floor: float = 0.0) -> tuple[float,
             c = long[start - 1]
             shared -= have[c] <= need[c]
             have[c] -= 1
-        # a window that starts or ends with a foreign character is never better than a shorter one
-        if start > 0 and long[high - 1] not in need:
+        # the window before is as good as one that ends with a foreign character, and at the
+        # text's end the next one is better than one that starts with such
+        if start > 0 and long[high - 1 if start + m <= n else low] not in need:
             continue
         size = m + high - low
         if 200.0 * shared / size < floor or (best is not None and 200.0 * shared / size <= best[0]):
