@@ -12,14 +12,15 @@ import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 U64 = np.uint64
-#: Bytes of text that a kernel works on at once; a longer document is one slice.
-SLICE_BYTES = 2 << 20
+#: Bytes and documents that a kernel works on at once; a longer document is one slice.
+SLICE_BYTES, SLICE_ROWS = 2 << 20, 500
 #: Largest table, in bytes of its collected columns, that may be sent to every executor.
 BROADCAST_BYTES = 64 << 20
 
@@ -28,9 +29,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def small_batches(spark: SparkSession, rows: int = 500) -> None:
-    """Arrow batches of so many rows for what is planned next, as texts may be long."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+@contextmanager
+def short_batches(spark: SparkSession, rows: int) -> Iterator[None]:
+    """Arrow batches of so many rows for what runs inside; the session's own setting afterwards."""
+    setting = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(setting)
+    spark.conf.set(setting, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(setting, before)
 
 
 # --- tables in the shared folder -------------------------------------------
@@ -40,10 +48,12 @@ _local: list[str] = []
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that the cluster names for checkpoints; a fresh local one where none is set."""
+    """The folder that the cluster names for checkpoints; a fresh local one where none is set and all runs on one machine."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if not _local:
         _local.append("file://" + tempfile.mkdtemp(prefix="tenderlake-"))
     return _local[0]
@@ -55,6 +65,14 @@ def drop_path(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def drop(spark: SparkSession, *paths: str) -> None:
+    """Delete stored tables that nothing will read any more."""
+    for path in paths:
+        drop_path(spark, path)
+        if (spark, path) in _made:
+            _made.remove((spark, path))
+
+
 def _clean() -> None:
     for spark, path in _made:
         try:
@@ -72,13 +90,36 @@ def new_path(spark: SparkSession, name: str) -> str:
     return path
 
 
-def stored(df: DataFrame, name: str, **options: str) -> tuple[DataFrame, str]:
-    """Write df to the shared folder and read it back: cuts lineage, survives lost executors."""
+def stored(df: DataFrame, name: str, rows: int = 500) -> tuple[DataFrame, str]:
+    """Write df to the shared folder and read it back: cuts lineage, survives lost executors. rows: of an Arrow batch on the way."""
     path = new_path(df.sparkSession, name)
-    df.write.options(**options).parquet(path)
+    with short_batches(df.sparkSession, rows):
+        df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path), path
 
 
+#: A hot key's rows are dealt to places of about so many of all rows of the join.
+PLACES = 1000
+
+
+def join_counted(left: DataFrame, right: DataFrame, on: list[str], counts: DataFrame, count: str) -> DataFrame:
+    """left joined with right, which has each key once; counts says how many rows left has of each key.
+
+    Rows of a key with more than two thousandths of all are dealt to several places by a
+    hash, and the key's row of right is copied to each: at most 2 * PLACES copies in all,
+    and a list of fewer than PLACES keys that every task gets.
+    """
+    total, most = counts.agg(F.sum(count), F.max(count)).first()
+    unit = max((total or 0) // PLACES, 16)
+    if (most or 0) <= 2 * unit:
+        return left.join(right, on)
+    hot = F.broadcast(counts.where(F.col(count) > 2 * unit).select(*on, F.ceil(F.col(count) / unit).cast("int").alias("_tl_places")))
+    places = F.coalesce("_tl_places", F.lit(1))
+    dealt = left.join(hot, on, "left").withColumn("_tl_place", F.pmod(F.xxhash64(*left.columns), places).cast("int")).drop("_tl_places")
+    copied = right.join(hot, on, "left").withColumn("_tl_place", F.explode(F.sequence(F.lit(0), places - 1))).drop("_tl_places")
+    return dealt.join(copied, [*on, "_tl_place"]).drop("_tl_place")
+
+
 # --- words ---------------------------------------------------------------------
 
 #: Word bytes: everything but ASCII white space.
@@ -203,14 +244,18 @@ class Words:
 
 
 def slices(batch: pa.RecordBatch, text: str, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
-    """The batch in pieces of at most so many bytes of text, or one document."""
+    """The batch in pieces of at most so many bytes of text and SLICE_ROWS rows, or one document."""
     if not batch.num_rows:
         return
     sizes = np.diff(Texts(batch.column(batch.schema.get_field_index(text))).offsets)
-    at, total = 0, 0
+    at, total, since = 0, 0, 0
     for i, n in enumerate(sizes):
-        if i > at and total + n > most:
+        if i > at and (total + n > most or i - at >= SLICE_ROWS):
             yield batch.slice(at, i - at)
+            since += total
+            if since > 8 * most:
+                give_back()
+                since = 0
             at, total = i, 0
         total += int(n)
     yield batch.slice(at)
