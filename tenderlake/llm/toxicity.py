@@ -1,15 +1,18 @@
 """Toxicity by a weighted lexicon, matched with Aho-Corasick after folding.
 
 Texts are folded first: lower case, look-alike letters of other scripts to Latin ones,
-digits and signs that stand for a letter (followed by one) to that letter, and all else
-that is no letter or digit to single spaces. Lexicon terms are whole words or word
+digits and signs that stand for letters in a word (a run of them with a letter on either
+side; signs at a word's end are punctuation) to those letters, and all else that is no
+letter or digit to single spaces. Lexicon terms are whole words or word
 beginnings with weights; exception phrases cancel the terms inside them. A document's
 evidence is the weighted count of its terms, and that count per words; a two-feature
 logistic curve turns both into a probability.
 
 The lexicon, its weights, the exceptions and the curve are learned from a bounded,
-documented sample of labelled rows outside the held-out fold: whole words and word
-beginnings whose share of toxic documents is beyond chance for so many candidates.
+documented sample of labelled rows outside the held-out fold: all whole words, and word
+beginnings, whose share of toxic documents is beyond chance for so many candidates.
+Beginnings are looked for among those of 3 to 10 characters, and taken as long as all
+their words agree. The sample is written once, and bounds all that is learned from it.
 
 Defined results: null and empty texts have no terms and get the curve's value at zero;
 texts of any length are matched whole; repeated rows get equal scores; without labels of
@@ -32,12 +35,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from .common import ALNUM, Texts, fields, gram_hashes, small_batches
+from .common import ALNUM, Texts, drop, fields, gram_hashes, slices, stored
 
 #: Labelled rows that the lexicon is learned from, at most, of either label.
 SAMPLE = {1: 4000, 0: 8000}
-#: Terms of the lexicon, at most; those of the greatest evidence stay.
-TERMS = 5000
 #: Word beginnings have so many characters.
 BEGINNING = (3, 10)
 
@@ -47,16 +48,27 @@ LOOKALIKES = dict(zip("аеорсухіјѕԁһԛԝӏкмтвнαεορτυχι
 SUBSTITUTES = dict(zip("01345789@$!", "oieastbgasi"))
 
 _TABLE = str.maketrans(LOOKALIKES | {chr(0xFF21 + i): chr(0x61 + i) for i in range(26)} | {chr(0xFF41 + i): chr(0x61 + i) for i in range(26)} | {c: "" for c in "­​‌‍⁠﻿"})
-_STANDS = re.compile(r"[01345789@$!](?=[^\W\d_])")
+_LETTERS = str.maketrans(SUBSTITUTES)
+_STANDS = re.compile(r"[01345789@$!]+")
 _GAPS = re.compile(r"[\W_]+")
 
 
+def _stand(found: re.Match) -> str:
+    run, text, a, b = found[0], found.string, found.start(), found.end()
+    if b < len(text) and text[b].isalpha():
+        return run.translate(_LETTERS)
+    if a and text[a - 1].isalpha():
+        size = len(run.rstrip("@$!"))
+        return run[:size].translate(_LETTERS) + run[size:]
+    return run
+
+
 def fold(text: str) -> str:
     """The folded text, with a space before and after."""
     text = text.lower()
     if not text.isascii():
         text = text.translate(_TABLE)
-    text = _STANDS.sub(lambda m: SUBSTITUTES[m[0]], text)
+    text = _STANDS.sub(_stand, text)
     return f" {_GAPS.sub(' ', text).strip()} "
 
 
@@ -83,7 +95,7 @@ class Lexicon:
 
 def evidence(folded: str, automaton: ahocorasick.Automaton | None) -> tuple[float, int, int]:
     """Sum of weights (the best term of each place), number of places with a term, words."""
-    words = max(0, folded.count(" ") - 1)
+    words = folded.count(" ") - 1 if len(folded) > 2 else 0
     if automaton is None:
         return 0.0, 0, words
     best: dict[int, float] = {}
@@ -94,9 +106,20 @@ def evidence(folded: str, automaton: ahocorasick.Automaton | None) -> tuple[floa
             excused.append((start, end))
         else:
             best[start] = max(best.get(start, 0.0), weight)
-    for a, b in excused:
-        for start in [s for s in best if a <= s <= b]:
-            del best[start]
+    if excused and best:
+        # phrases that overlap are one stretch; a term is cancelled if it starts in a stretch, before its last space
+        stretches: list[tuple[int, int]] = []
+        for a, b in sorted(excused):
+            if stretches and a < stretches[-1][1]:
+                stretches[-1] = (stretches[-1][0], max(b, stretches[-1][1]))
+            else:
+                stretches.append((a, b))
+        at = 0
+        for start in sorted(best):
+            while at < len(stretches) and stretches[at][1] <= start:
+                at += 1
+            if at < len(stretches) and stretches[at][0] <= start:
+                del best[start]
     return sum(best.values()), len(best), words
 
 
@@ -114,8 +137,8 @@ def held_out(key: Column) -> Column:
     return F.coalesce(F.crc32(F.coalesce(key.cast("string"), F.lit("")).cast("binary")) % 5 == 0, F.lit(False))
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, key: str, text: str, bounds: dict[int, int]) -> DataFrame:
-    """(key, text, y) of a bounded sample outside the held-out fold, by a hash of the key."""
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, key: str, text: str, bounds: dict[int, int]) -> tuple[DataFrame, str]:
+    """(text, y) of a bounded sample outside the held-out fold, by a hash of the key; and where it is stored."""
     marks = labels.where(F.col(label).isNotNull() & F.col(key).isNotNull()).groupBy(F.col(key).alias("_tl_key")).agg((F.avg(label) >= 0.5).cast("int").alias("y"))
     marks = marks.where(~held_out(F.col("_tl_key"))).withColumn("_tl_place", F.pmod(F.xxhash64("_tl_key", F.lit(3)), F.lit(1 << 30)))
     counts = {r.y: r["count"] for r in marks.groupBy("y").count().collect()}
@@ -126,15 +149,16 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, key: str, te
     # the sample's keys are bounded, so they can go to every task
     rows = docs.select(F.col(key).alias("_tl_key"), F.col(text).alias("text")).join(F.broadcast(marks.where(chosen).select("_tl_key", "y")), "_tl_key")
     # copies and most near copies share the smallest shingle; one of them is evidence enough
-    small_batches(docs.sparkSession)
-    sketched = rows.mapInArrow(_sketch, T.StructType([*rows.schema.fields, *fields(_tl_sketch="long")]))
-    first = sketched.groupBy("_tl_sketch", "y").agg(F.min("_tl_key").alias("_tl_key")).select("_tl_key", "y")
-    return rows.join(F.broadcast(first), ["_tl_key", "y"])
+    found, path = stored(rows.mapInArrow(_sketch, T.StructType([*rows.schema.fields, *fields(_tl_sketch="long")])), "labelled")
+    first = found.groupBy("_tl_sketch", "y").agg(F.min("_tl_key").alias("_tl_key"))
+    sample, sample_path = stored(found.join(F.broadcast(first), ["_tl_key", "y", "_tl_sketch"], "left_semi").select("text", "y"), "labelled")
+    drop(docs.sparkSession, path)
+    return sample, sample_path
 
 
 def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Adds the smallest hash of the document's five-word runs, or a hash of its words if it has fewer."""
-    for batch in batches:
+    for batch in (b for whole in batches for b in slices(whole, "text")):
         words = Texts(batch.column("text")).words(ALNUM, fold=True)
         grams, inside = words.grams(5)
         low = np.full(batch.num_rows, np.iinfo(np.uint64).max, np.uint64)
@@ -148,16 +172,21 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _count_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Documents of either label per word and word beginning; a beginning also with one word that has it."""
     counts: dict[int, Counter] = {0: Counter(), 1: Counter()}
-    for batch in batches:
+    for batch in (b for whole in batches for b in slices(whole, "text")):
         for text, y in zip(batch.column("text").to_pylist(), batch.column("y").to_pylist()):
             counts[y].update(set(fold(text or "").split()))
     yield pa.RecordBatch.from_pydict({"word": pa.array([w for y in (0, 1) for w in counts[y]], pa.string()), "y": pa.array([y for y in (0, 1) for _ in counts[y]], pa.int32()), "n": pa.array([n for y in (0, 1) for n in counts[y].values()], pa.int64())})
 
 
-def learn(docs: DataFrame, labels: DataFrame, label: str = "toxic", key: str = "doc_id", text: str = "text", sample: dict[int, int] | None = None, terms: int = TERMS) -> Lexicon:
+def learn(docs: DataFrame, labels: DataFrame, label: str = "toxic", key: str = "doc_id", text: str = "text", sample: dict[int, int] | None = None) -> Lexicon:
     """The lexicon of a bounded sample of labelled documents."""
-    small_batches(docs.sparkSession)
-    rows = labelled_sample(docs, labels, label, key, text, sample or SAMPLE)
+    rows, path = labelled_sample(docs, labels, label, key, text, sample or SAMPLE)
+    found = _learn(rows)
+    drop(docs.sparkSession, path)
+    return found
+
+
+def _learn(rows: DataFrame) -> Lexicon:
     sizes = {r.y: r["count"] for r in rows.groupBy("y").count().collect()}
     n1, n0 = sizes.get(1, 0), sizes.get(0, 0)
     share = n1 / (n0 + n1) if n0 + n1 else 0.0
@@ -175,10 +204,10 @@ def learn(docs: DataFrame, labels: DataFrame, label: str = "toxic", key: str = "
     # terms seen d1 times in toxic documents by chance: share ** d1 of the candidates
     enough = max(2, math.ceil((math.log(max(candidates, 2)) + 2) / -math.log(share)))
     toxic = F.col("d1") * (n0 + 1) >= 20 * (F.col("d0") + 0.5) * (n1 + 1)
-    whole = by_word.where((F.col("d1") >= enough) & toxic).select("word", "d1", "d0").orderBy(F.desc("d1"), "word").limit(terms).collect()
-    begun = starts.where((F.col("d1") >= enough) & (F.col("kinds1") >= 3) & (F.col("d0") == 0)).orderBy(F.desc("d1"), F.length("term"), "term").limit(terms).collect()
+    whole = by_word.where((F.col("d1") >= enough) & toxic).select("word", "d1", "d0").collect()
+    begun = starts.where((F.col("d1") >= enough) & (F.col("kinds1") >= 3) & (F.col("d0") == 0)).collect()
     weight = lambda d1, d0: math.log((d1 + 0.5) / (n1 + 1)) - math.log((d0 + 0.5) / (n0 + 1))
-    weights = {f" {r.word} ": weight(r.d1, r.d0) for r in whole}
+    weights = {f" {r.word} ": weight(r.d1, r.d0) for r in sorted(whole, key=lambda r: r.word)}
     taken: list[str] = []
     for r in sorted(begun, key=lambda r: (len(r.term), r.term)):
         if any(r.term.startswith(t) for t in taken):
@@ -198,7 +227,7 @@ def _neighbours(lexicon: Lexicon):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         automaton = lexicon.automaton()
         counts: Counter = Counter()
-        for batch in batches:
+        for batch in (b for whole in batches for b in slices(whole, "text")):
             for text, y in zip(batch.column("text").to_pylist(), batch.column("y").to_pylist()):
                 folded = fold(text or "")
                 seen = set()
@@ -220,13 +249,13 @@ def _exceptions(rows: DataFrame, lexicon: Lexicon, enough: int) -> tuple[str, ..
     found = rows.select("text", "y").mapInArrow(_neighbours(lexicon), T.StructType(fields(phrase="string", y="int", n="long")))
     d1, d0 = F.sum(F.when(F.col("y") == 1, F.col("n")).otherwise(0)), F.sum(F.when(F.col("y") == 0, F.col("n")).otherwise(0))
     kept = found.groupBy("phrase").agg(d1.alias("d1"), d0.alias("d0")).where((F.col("d0") >= enough) & (20 * F.col("d1") <= F.col("d0")))
-    return tuple(r.phrase for r in kept.orderBy(F.desc("d0"), "phrase").limit(1000).collect())
+    return tuple(r.phrase for r in kept.orderBy("phrase").collect())
 
 
 def _evidence_of(rows: DataFrame, lexicon: Lexicon) -> list:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         automaton = lexicon.automaton()
-        for batch in batches:
+        for batch in (b for whole in batches for b in slices(whole, "text")):
             got = [evidence(fold(t or ""), automaton) for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_pydict({"total": pa.array([g[0] for g in got], pa.float64()), "words": pa.array([g[2] for g in got], pa.int64()), "y": batch.column("y")})
 
@@ -250,7 +279,7 @@ def _curve(rows: list, base: tuple[float, float, float], steps: int = 60) -> tup
 def _score(lexicon: Lexicon, text: str, keep: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         automaton = lexicon.automaton()
-        for batch in batches:
+        for batch in (b for whole in batches for b in slices(whole, text)):
             got = [evidence(fold(t or ""), automaton) for t in batch.column(batch.schema.get_field_index(text)).to_pylist()]
             scores = pa.array([probability(lexicon.curve, g[0], g[2]) for g in got], pa.float64())
             yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(c)) for c in keep), scores, pa.array([g[1] for g in got], pa.int32())], [*keep, "_tl_score", "_tl_terms"])
@@ -260,7 +289,6 @@ def _score(lexicon: Lexicon, text: str, keep: list[str]):
 
 def scored(docs: DataFrame, lexicon: Lexicon, key: str = "doc_id", text: str = "text", threshold: float = 0.5) -> DataFrame:
     """Per document: key, held_out, score, predicted, n_terms."""
-    small_batches(docs.sparkSession)
     out = T.StructType([docs.schema[key], *fields(_tl_score="double", _tl_terms="int")])
     found = docs.select(key, text).mapInArrow(_score(lexicon, text, [key]), out)
     return found.select(key, held_out(F.col(key)).alias("held_out"), F.col("_tl_score").alias("score"), (F.col("_tl_score") >= threshold).cast("int").alias("predicted"), F.col("_tl_terms").alias("n_terms"))
@@ -268,6 +296,5 @@ def scored(docs: DataFrame, lexicon: Lexicon, key: str = "doc_id", text: str = "
 
 def harmless(docs: DataFrame, lexicon: Lexicon, text: str = "text", threshold: float = 0.5) -> DataFrame:
     """The documents that score below the threshold, with all their columns."""
-    small_batches(docs.sparkSession)
     out = T.StructType([*docs.schema.fields, *fields(_tl_score="double", _tl_terms="int")])
     return docs.mapInArrow(_score(lexicon, text, docs.columns), out).where(F.col("_tl_score") < threshold).select(*docs.columns)
