@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F, types as T
 
 from . import simple8b
-from .common import BROADCAST_BYTES, Texts, fields, new_path, slices, small_batches, total_bytes
+from .common import BROADCAST_BYTES, Texts, fields, new_path, slices, total_bytes
 from .tokens import encoder, vocabulary_path
 
 CHUNK_BYTES = 1 << 20
@@ -57,7 +57,6 @@ def _encode(vocabulary: str, end_id: int):
 def write_token_files(docs: DataFrame, key: str = "doc_id", text: str = "text", end_id: int = 0, vocabulary: str | None = None, path: str | None = None) -> str:
     """Encode docs into a file set; returns its path."""
     spark = docs.sparkSession
-    small_batches(spark)
     path = path or new_path(spark, "token-files")
     _, size = total_bytes(docs, text)
     parts = max(1, -(-size // PART_BYTES))
@@ -91,7 +90,6 @@ def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def read_token_files(spark: SparkSession, path: str, key: str = "doc_id", with_ids: bool = True) -> DataFrame:
     """Per document of a file set: key, start (ids of all before), n_tokens, ids_crc32 and, if wanted, ids (32-bit little-endian)."""
-    small_batches(spark, 8)
     chunks = spark.read.schema(CHUNKS).parquet(path)
     # totals of parts: a few bytes for each range of keys
     totals = chunks.groupBy("part").agg(F.sum("n_ids").alias("_n"))

@@ -4,7 +4,8 @@ The library encodes each distinct pre-token once per worker; texts are cut into
 pre-tokens and put together from the known ones with array operations. The cut follows
 the byte-level pre-tokenizer's rule: contractions, runs of letters, of digits and of
 other characters with one space before them, and white space. It is done here for texts
-of code points below 0x3000 and left to the library, text by text, for all others.
+of code points below 0x3000 without strings of added tokens (<|endoftext|>), and left to
+the library, text by text, for all others. Ids are those of the library as it is loaded.
 """
 
 from __future__ import annotations
@@ -166,7 +167,10 @@ class Encoder(WordCache):
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.library.encode_special_tokens = True  # their strings in a text are ordinary text
+        # words come from texts without such strings, and must not make one side by side
+        self.plain = Tokenizer.from_file(path)
+        self.plain.encode_special_tokens = True
+        self.added = [t.content for t in self.library.get_added_tokens_decoder().values()]
         self.classes = _classes()
         # a piece is spelt with one character per byte
         self.bytes = np.array([len(self.library.id_to_token(i) or "") for i in range(self.library.get_vocab_size())], np.int64)
@@ -185,10 +189,10 @@ class Encoder(WordCache):
         plain = [len(w) > 1 and w[0] == " " and self.classes[ord(w[1])] != SPACE for w in words]
         joined, rest = np.flatnonzero(plain), np.flatnonzero(~np.array(plain, bool))
         runs = ["".join([words[i] for i in joined[low : low + 2000]]) for low in range(0, len(joined), 2000)]
-        parts = [np.array(got.ids, np.uint32) for got in self.library.encode_batch_fast(runs, add_special_tokens=False)]
+        parts = [np.array(got.ids, np.uint32) for got in self.plain.encode_batch_fast(runs, add_special_tokens=False)]
         ids = np.concatenate(parts) if parts else np.zeros(0, np.uint32)
         cuts = np.searchsorted(np.cumsum(self.bytes[ids]), np.cumsum([len(words[i].encode()) for i in joined])) + 1
-        singles = [got.ids for got in self.library.encode_batch_fast([words[i] for i in rest], add_special_tokens=False)]
+        singles = [got.ids for got in self.plain.encode_batch_fast([words[i] for i in rest], add_special_tokens=False)]
         sizes = np.zeros(len(words), np.int64)
         sizes[joined] = np.diff(cuts, prepend=0)
         sizes[rest] = [len(x) for x in singles]
@@ -197,10 +201,20 @@ class Encoder(WordCache):
         where[rest] = len(ids) + np.cumsum(sizes[rest]) - sizes[rest]
         return np.concatenate([ids, np.array([i for x in singles for i in x], np.uint32)]), where, sizes
 
+    def _added_at(self, strings: str) -> np.ndarray:
+        """Where strings of added tokens start."""
+        found = []
+        for token in self.added:
+            at = strings.find(token)
+            while at >= 0:
+                found.append(at)
+                at = strings.find(token, at + 1)
+        return np.array(found, np.int64)
+
     def encode(self, texts: Texts) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts in a row, and how many each has."""
         strings, points, doc = code_points(texts)
-        rare = np.unique(np.searchsorted(doc, np.flatnonzero(points >= LIMIT), "right") - 1)
+        rare = np.unique(np.searchsorted(doc, np.concatenate([np.flatnonzero(points >= LIMIT), self._added_at(strings)]), "right") - 1)
         parts, counts, at = [np.zeros(0, np.uint32)], [np.zeros(0, np.int64)], 0
         for i in [*rare.tolist(), len(doc) - 1]:
             if i > at:
