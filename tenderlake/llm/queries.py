@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from . import oracles
-from .common import table
+from .common import stored, table
 from .decontaminate import contamination
 from .near_dedup import near_duplicates
 from .quality_classifier import quality_scores
@@ -56,7 +56,9 @@ def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return with_suffix_sums(length_histogram(table(spark, sf_dir, "documents")))
+    # both sums read the histogram: it is written, so that texts are encoded once
+    histogram, _ = stored(length_histogram(table(spark, sf_dir, "documents")), "lengths")
+    return with_suffix_sums(histogram)
 
 
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,7 +5,7 @@ map side first. Suffix sums over lengths answer, for every context limit L, how
 documents have at least L tokens, how many tokens the corpus keeps when documents are
 cut at L, and which share of documents fits.
 
-Defined results: null and empty texts have length 0; repeated rows count each time;
+Defined results: no limits or shares give empty tables; null and empty texts have length 0; repeated rows count each time;
 texts of any length are encoded whole; an empty table gives an empty histogram. Only the
 text is read, so further columns can have any name.
 """
@@ -18,11 +18,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F, types as T
 
-from .common import Texts, fields, slices, small_batches
+from .common import Texts, fields, slices
 from .tokens import encoder, vocabulary_path
 
 #: Lengths of a block of suffix sums; blocks are summed first, then inside each.
-SPAN = 4096
+SPAN = 256
 
 
 def _lengths(vocabulary: str, text: str):
@@ -39,7 +39,6 @@ def _lengths(vocabulary: str, text: str):
 
 def length_histogram(docs: DataFrame, text: str = "text", vocabulary: str | None = None) -> DataFrame:
     """(n_tokens, docs) of each encoded length."""
-    small_batches(docs.sparkSession)
     found = docs.select(text).mapInArrow(_lengths(vocabulary or vocabulary_path(), text), T.StructType(fields(n_tokens="long", docs="long")))
     return found.groupBy("n_tokens").agg(F.sum("docs").alias("docs"))
 
@@ -63,7 +62,7 @@ def truncated_totals(histogram: DataFrame, limits: list[int]) -> DataFrame:
     """(context_limit, truncated_tokens, docs_cut) for any limits, also such that no document has."""
     spark = histogram.sparkSession
     asked = spark.createDataFrame([(x,) for x in limits], T.StructType(fields(context_limit="long")))
-    found = histogram.select("n_tokens", "docs", F.explode(F.array(*[F.lit(x).cast("long") for x in limits])).alias("context_limit"))
+    found = histogram.select("n_tokens", "docs", F.explode(F.array(*[F.lit(x).cast("long") for x in limits]).cast("array<bigint>")).alias("context_limit"))
     sums = found.groupBy("context_limit").agg(F.sum(F.least("n_tokens", "context_limit") * F.col("docs")).alias("truncated_tokens"), F.sum(F.when(F.col("n_tokens") > F.col("context_limit"), F.col("docs")).otherwise(0)).alias("docs_cut"))
     return asked.join(sums, "context_limit", "left").fillna(0)
 
@@ -71,4 +70,4 @@ def truncated_totals(histogram: DataFrame, limits: list[int]) -> DataFrame:
 def quantiles(histogram: DataFrame, shares: list[float]) -> DataFrame:
     """(share, n_tokens): the smallest length that so many of the documents do not exceed."""
     rows = with_suffix_sums(histogram)
-    return rows.select("n_tokens", "share_within", F.explode(F.array(*[F.lit(float(s)) for s in shares])).alias("share")).where("share_within >= share").groupBy("share").agg(F.min("n_tokens").alias("n_tokens"))
+    return rows.select("n_tokens", "share_within", F.explode(F.array(*[F.lit(float(s)) for s in shares]).cast("array<double>")).alias("share")).where("share_within >= share").groupBy("share").agg(F.min("n_tokens").alias("n_tokens"))
