@@ -13,7 +13,8 @@ A model of the merging kind has ranks for scores, and their sum would not give t
 that the model stands for; there a piece may follow another only if merging by rank
 would leave the two apart, which exactly one segmentation does throughout, and the
 maximum over (follows, does not) finds it. Words with pieces of tied ranks (runs of
-spaces) are merged step by step instead. Either way the ids are the library's own.
+spaces), and words above LONG characters, which would advance alone, are merged step by
+step instead, with a heap. Either way the ids are the library's own.
 
 Decoding joins the pieces' bytes, and drops the space in front: texts come back as they
 were, but for U+2581 itself, which comes back as a space as in the library.
@@ -25,6 +26,7 @@ one. Only key and text are read, so further columns can have any name.
 
 from __future__ import annotations
 
+import heapq
 import zlib
 from collections.abc import Iterator
 
@@ -32,11 +34,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from .common import U64, Texts, _GRAM, _power_table, fields, mix, slices, small_batches
+from .common import U64, Texts, _GRAM, _power_table, fields, mix, slices
 from .tokens import WordCache, code_points, vocabulary_path
 
 MODEL = "piece_bpe_32k.model"
 SPACE = 0x2581
+#: Longer words of a merging model are not looked at by the Viterbi, which gains by equal lengths.
+LONG = 512
 
 
 def point_values(points: np.ndarray) -> np.ndarray:
@@ -132,14 +136,26 @@ class PieceModel(WordCache):
 
     def merged(self, word: str) -> list[str]:
         """The word's symbols after merging the best adjacent pair, the first of equals, again and again."""
-        parts = list(word)
-        while len(parts) > 1:
-            best = max((self.scores[r], -i) for i in range(len(parts) - 1) if (r := self.rank.get(parts[i] + parts[i + 1])) is not None) if any(parts[i] + parts[i + 1] in self.rank for i in range(len(parts) - 1)) else None
-            if best is None:
-                break
-            i = -best[1]
-            parts[i : i + 2] = [parts[i] + parts[i + 1]]
-        return parts
+        parts: list[str | None] = list(word)
+        n, rank, score = len(parts), self.rank, self.scores.tolist()
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        heap = [(-score[r], i, parts[i] + parts[i + 1]) for i in range(n - 1) if (r := rank.get(parts[i] + parts[i + 1])) is not None]
+        heapq.heapify(heap)
+        while heap:
+            _, i, name = heapq.heappop(heap)
+            j = after[i]
+            # a pair that an earlier merge took apart is passed over
+            if parts[i] is None or j >= n or len(parts[i]) + len(parts[j]) != len(name) or parts[i] + parts[j] != name:
+                continue
+            parts[i], parts[j] = name, None
+            after[i] = k = after[j]
+            if k < n:
+                before[k] = i
+                if (r := rank.get(name + parts[k])) is not None:
+                    heapq.heappush(heap, (-score[r], i, name + parts[k]))
+            if (k := before[i]) >= 0 and (r := rank.get(parts[k] + name)) is not None:
+                heapq.heappush(heap, (-score[r], k, parts[k] + name))
+        return [p for p in parts if p is not None]
 
     def _merge_tables(self) -> None:
         """For each piece the pair that merging makes it of last; single characters stand for themselves."""
@@ -262,7 +278,17 @@ class PieceModel(WordCache):
         sizes = ends - starts
         parts: list[np.ndarray] = []
         where, counted, used = np.zeros(len(starts), np.int64), np.zeros(len(starts), np.int64), 0
-        for n in np.unique(sizes):
+        def step_by_step(rows: np.ndarray) -> None:
+            nonlocal used
+            for row in rows:
+                symbols = self.merged(source[starts[row] : ends[row]].tobytes().decode("utf-32-le"))
+                parts.append(np.concatenate([[self.ids[self.rank[x]]] if x in self.rank else self.byte_ids[np.frombuffer(x.encode(), np.uint8)] for x in symbols]))
+                where[row], counted[row] = used, len(parts[-1])
+                used += len(parts[-1])
+
+        if self.by_merges:
+            step_by_step(np.flatnonzero(sizes > LONG))
+        for n in np.unique(sizes[sizes <= LONG] if self.by_merges else sizes):
             group = np.flatnonzero(sizes == n)
             for low in range(0, len(group), max(1, 200_000 // int(n))):
                 some = group[low : low + max(1, 200_000 // int(n))]
@@ -295,11 +321,7 @@ class PieceModel(WordCache):
                 where[some] = used + np.cumsum(counted[some]) - counted[some]
                 parts.append(flat)
                 used += len(flat)
-                for row in some[np.flatnonzero(tied)]:
-                    symbols = self.merged(source[starts[row] : ends[row]].tobytes().decode("utf-32-le"))
-                    parts.append(np.concatenate([[self.ids[self.rank[x]]] if x in self.rank else self.byte_ids[np.frombuffer(x.encode(), np.uint8)] for x in symbols]))
-                    where[row], counted[row] = used, len(parts[-1])
-                    used += len(parts[-1])
+                step_by_step(some[np.flatnonzero(tied)])
         return np.concatenate(parts).astype(np.uint32), where, counted
 
     def encode(self, texts: Texts) -> tuple[np.ndarray, np.ndarray]:
@@ -360,13 +382,11 @@ def _encode(path: str, text: str, digest: bool):
 
 def encoded(docs: DataFrame, key: str = "doc_id", text: str = "text", model: str | None = None) -> DataFrame:
     """Per document: key and ids."""
-    small_batches(docs.sparkSession)
     return docs.select(key, text).mapInArrow(_encode(model or vocabulary_path(MODEL), text, False), T.StructType([docs.schema[key], *fields(ids="ints")]))
 
 
 def round_trips(docs: DataFrame, key: str = "doc_id", text: str = "text", model: str | None = None) -> DataFrame:
     """Per document: key, n_pieces, n_byte_pieces, ids_crc32, decoded_crc32, round_trip (the text came back)."""
-    small_batches(docs.sparkSession)
     out = fields(n_pieces="long", n_byte_pieces="long", ids_crc32="long", decoded_crc32="long", round_trip="boolean")
     return docs.select(key, text).mapInArrow(_encode(model or vocabulary_path(MODEL), text, True), T.StructType([docs.schema[key], *out]))
 
@@ -385,5 +405,4 @@ def _decode(path: str):
 
 def decoded(tokens: DataFrame, key: str = "doc_id", ids: str = "ids", model: str | None = None) -> DataFrame:
     """Per row: key and the text of its ids (null ids: empty)."""
-    small_batches(tokens.sparkSession)
     return tokens.select(key, ids).mapInArrow(_decode(model or vocabulary_path(MODEL)), T.StructType([tokens.schema[key], *fields(text="string")]))
