@@ -28,7 +28,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from .common import ALNUM, BROADCAST_BYTES, U64, Texts, fields, gram_hashes, slices, small_batches
+from .common import ALNUM, BROADCAST_BYTES, U64, Texts, fields, gram_hashes, slices
 
 #: Test text of one block, in bytes; the tables made of it take some forty times as much.
 BLOCK_BYTES = BROADCAST_BYTES // 40
@@ -208,7 +208,7 @@ def test_blocks(tests: DataFrame, item: str, text: str, window: int, block_bytes
     return out
 
 
-def _pass(block, first: bool, last: bool, keep: list[str], text: str, clean_only: bool):
+def _pass(block, first: bool, last: bool, keep: list[str], text: str, clean_only: bool, percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tests = block.value
         for whole in batches:
@@ -229,7 +229,7 @@ def _pass(block, first: bool, last: bool, keep: list[str], text: str, clean_only
                     continue
                 n_words = np.diff(shard.doc)
                 n_hit = np.bincount(shard.owner[hit], minlength=len(n_words))
-                bad = (n_hit > 0) & (20 * n_hit >= n_words)
+                bad = (n_hit > 0) & (100 * n_hit >= percent * n_words)
                 if clean_only:
                     yield pa.RecordBatch.from_arrays(columns, keep).filter(pa.array(~bad))
                     continue
@@ -243,38 +243,39 @@ def _pass(block, first: bool, last: bool, keep: list[str], text: str, clean_only
 DIGEST = fields(n_words="long", n_hit="long", n_items="long", items_sha256="string", contaminated="boolean", item_ids="strings")
 
 
-def _run(docs: DataFrame, tests: DataFrame, keep: list[str], text: str, item: str, test_text: str, window: int, block_bytes: int, clean_only: bool) -> DataFrame:
-    small_batches(docs.sparkSession)
+def _run(docs: DataFrame, tests: DataFrame, keep: list[str], text: str, item: str, test_text: str, window: int, block_bytes: int, clean_only: bool, percent: int) -> DataFrame:
     blocks = test_blocks(tests, item, test_text, window, block_bytes)
     kept = [docs.schema[c] for c in keep]
     for i, block in enumerate(blocks):
         last = i == len(blocks) - 1
         more = ([] if clean_only else DIGEST) if last else fields(_tl_text="string", _tl_hit="binary", _tl_items="strings")
         docs = docs.select(*dict.fromkeys([*keep, text if i == 0 else "_tl_text", *(["_tl_hit", "_tl_items"] if i else [])]))
-        docs = docs.mapInArrow(_pass(block, i == 0, last, keep, text if i == 0 else "_tl_text", clean_only), T.StructType([*kept, *more]))
+        docs = docs.mapInArrow(_pass(block, i == 0, last, keep, text if i == 0 else "_tl_text", clean_only, percent), T.StructType([*kept, *more]))
     return docs
 
 
-def contamination(docs: DataFrame, tests: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", test_text: str = "text", window: int = 13, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """Per document: key, n_words, n_hit, n_items, items_sha256, contaminated, item_ids."""
-    return _run(docs, tests, [key], text, item, test_text, window, block_bytes, False)
+def contamination(docs: DataFrame, tests: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", test_text: str = "text", window: int = 13, block_bytes: int = BLOCK_BYTES, percent: int = 5) -> DataFrame:
+    """Per document: key, n_words, n_hit, n_items, items_sha256, contaminated (so many of a hundred words are hit), item_ids."""
+    return _run(docs, tests, [key], text, item, test_text, window, block_bytes, False, percent)
 
 
-def decontaminated(docs: DataFrame, tests: DataFrame, text: str = "text", item: str = "item_id", test_text: str = "text", window: int = 13, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """The documents that are not contaminated, with all their columns."""
-    return _run(docs, tests, docs.columns, text, item, test_text, window, block_bytes, True)
+def decontaminated(docs: DataFrame, tests: DataFrame, text: str = "text", item: str = "item_id", test_text: str = "text", window: int = 13, block_bytes: int = BLOCK_BYTES, percent: int = 0) -> DataFrame:
+    """The documents that no test item affects, with all their columns: any hit counts, unless a percentage of words is given."""
+    return _run(docs, tests, docs.columns, text, item, test_text, window, block_bytes, True, percent)
 
 
 MATCH = "key long, item string, item_word int, n_words int, doc_word int"
 
 
-def verbatim_matches(docs: DataFrame, tests: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", test_text: str = "text", least: int = 5) -> DataFrame:
+def verbatim_matches(docs: DataFrame, tests: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", test_text: str = "text", least: int = 1) -> DataFrame:
     """Longest verbatim match of every test suffix, over all shards, with each place of it.
 
-    Rows: key, item, item_word (offset of the suffix), n_words, doc_word. Matches shorter
-    than least words are left out.
+    Rows: key (an integer; others are cast, null if they can't be), item, item_word (offset
+    of the suffix), n_words, doc_word. Matches shorter than least words are left out. Null
+    and empty texts match nothing; rows and items that repeat give their places each time;
+    without documents or items there are no rows. Places of common phrases are many: least
+    bounds the length, not the number.
     """
-    small_batches(docs.sparkSession)
     parts = None
     for block in test_blocks(tests, item, test_text, 13):
 

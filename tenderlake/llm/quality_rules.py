@@ -106,7 +106,7 @@ def verdict(prefix: str = "", rules: Sequence[Rule] = RULES) -> Column:
 
 
 def apply_rules(docs: DataFrame, text: str = "text", prefix: str = "", rules: Sequence[Rule] = RULES) -> DataFrame:
-    """docs with its measures, base_failed and kept."""
+    """docs with its measures, base_failed and kept; an input column of such a name is replaced, unless a prefix tells them apart."""
     found = docs.withColumns({prefix + k: v for k, v in measures(F.col(text)).items()})
     n, again = F.col(f"{prefix}n_words"), F.col(f"{prefix}n_repeat_words")
     failed = (n < 50) | (100 * again > 50 * n)
