@@ -82,3 +82,39 @@ def near_classes(rows, threshold=0.8):
     for i in range(len(rows)):
         groups[root(i)].append(rows[i][0])
     return {frozenset(g) for g in groups.values()}
+
+
+def near_classes_by_index(rows, threshold=0.8):
+    """As near_classes; only texts that share a shingle are compared, which loses no link."""
+    bags, index, parent = [], collections.defaultdict(list), list(range(len(rows)))
+    for i, (_, t) in enumerate(rows):
+        w = folded(t)
+        k = min(5, len(w))
+        bags.append(collections.Counter(tuple(w[j : j + k]) for j in range(len(w) - k + 1)) if w else collections.Counter())
+        for g in bags[i]:
+            index[g].append(i)
+
+    def root(x):
+        while parent[x] != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    equal = {}
+    for a, (_, t) in enumerate(rows):
+        b = equal.setdefault(t or "", a)
+        parent[root(max(a, b))] = root(min(a, b))
+    for a, bag in enumerate(bags):
+        shared = collections.Counter()
+        for g, n in bag.items():
+            for b in index[g]:
+                if b < a:
+                    shared[b] += min(n, bags[b][g])
+        for b, low in shared.items():
+            if low >= threshold * (bag.total() + bags[b].total() - low) - 1e-9:
+                x, y = root(a), root(b)
+                parent[max(x, y)] = min(x, y)
+    groups = collections.defaultdict(list)
+    for i in range(len(rows)):
+        groups[root(i)].append(rows[i][0])
+    return {frozenset(g) for g in groups.values()}

@@ -11,6 +11,7 @@ import pyarrow as pa
 import pytest
 from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from tenderlake.llm import quality_classifier as qc, quality_rules as qr, sentencepiece_codec as sp, sharding, simple8b, token_counts as tc, token_files as tf, toxicity as tx
 from tenderlake.llm.common import Texts
@@ -81,12 +82,18 @@ def awkward(n=400, seed=2):
     return ["".join(rng.choice(bits) for _ in range(rng.randrange(40))) for _ in range(n)] + ["", None, " ", "'s", "x" * 3000, "   lead"]
 
 
+def library():
+    """The tokenizers library as anybody loads it."""
+    return Tokenizer.from_file(vocabulary_path())
+
+
 def test_encoder_gives_the_librarys_ids():
-    made = encoder(vocabulary_path())
-    texts = awkward()
+    made, plain = encoder(vocabulary_path()), library()
+    texts = [*awkward(), "<|endoftext|>", "a<|endoftext|>b", " <|endoftext|> <|endoftext|", "<|end", "oftext|>"]
+    assert plain.encode("<|endoftext|>", add_special_tokens=False).ids == [50256]
     for _ in range(2):  # again, from the cache
         ids, counts = made.encode(Texts(pa.array(texts)))
-        want = [made.library.encode(t or "", add_special_tokens=False).ids for t in texts]
+        want = [plain.encode(t or "", add_special_tokens=False).ids for t in texts]
         assert counts.tolist() == [len(w) for w in want] and ids.tolist() == [i for w in want for i in w]
 
 
@@ -97,7 +104,7 @@ def test_token_files(spark, monkeypatch):
     rows = [(i * 7 % 1000, t) for i, t in enumerate(texts)] + [(None, "null key"), (5, "b"), (5, "a")]
     df = spark.createDataFrame(rows, DOC).withColumns({"key": F.lit(1), "words": F.lit(2)})
     got = tf.read_token_files(spark, tf.write_token_files(df)).orderBy("start").collect()
-    made = encoder(vocabulary_path()).library
+    made = library()
     want = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, (r[1] or "").encode()))
     at = 0
     for g, (k, t) in zip(got, want, strict=True):
@@ -111,7 +118,7 @@ def test_token_counts(spark, monkeypatch):
     monkeypatch.setattr(tc, "SPAN", 8)
     texts = awkward(200)
     histogram = tc.length_histogram(spark.createDataFrame(list(enumerate(texts)), DOC))
-    made = encoder(vocabulary_path()).library
+    made = library()
     lengths = np.array([len(made.encode(t or "", add_special_tokens=False).ids) for t in texts])
     for r in tc.with_suffix_sums(histogram).collect():
         n = r.n_tokens
@@ -188,6 +195,35 @@ def toxic_corpus(n=700, seed=3):
 
 def test_folding():
     assert tx.fold("ІDІОТ!!") == " idiot " and tx.fold("l0s3r, $cum") == " loser scum " and tx.fold("ｂad 123") == " bad 123 " and tx.fold("") == "  "
+    assert tx.fold("n00b a55hole hell0 hell0! 2024 1,000") == " noob asshole hello hello 2024 1 000 " and tx.fold("fun! $5 wow!!") == " fun 5 wow "
+
+
+def naive_evidence(folded, lexicon):
+    """Every place of every term and exception, by plain search."""
+    best = {}
+    covered = set()
+    for phrase in lexicon.exceptions:
+        at = folded.find(phrase)
+        while at >= 0:
+            covered |= set(range(at, at + len(phrase) - 1))
+            at = folded.find(phrase, at + 1)
+    for term, weight in lexicon.weights.items():
+        at = folded.find(term)
+        while at >= 0:
+            if at not in covered:
+                best[at] = max(best.get(at, 0.0), weight)
+            at = folded.find(term, at + 1)
+    return sum(best.values()), len(best), len(folded.split())
+
+
+def test_automaton_finds_what_plain_search_finds():
+    rng = random.Random(4)
+    lexicon = tx.Lexicon({" ab ": 1.0, " a": 0.5, " abc ": 2.0, " c c ": 3.0, " b": 0.25}, (" ab c ", " c ab ", " a b a ", " b b "))
+    made = lexicon.automaton()
+    for _ in range(400):
+        folded = tx.fold(" ".join(rng.choice(["a", "b", "c", "ab", "abc", "x"]) for _ in range(rng.randrange(14))))
+        got, want = tx.evidence(folded, made), naive_evidence(folded, lexicon)
+        assert abs(got[0] - want[0]) < 1e-9 and got[1:] == want[1:], folded
 
 
 def test_exceptions_cancel_terms():
