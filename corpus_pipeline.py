@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tenderlake.llm.common import stored, table
+from tenderlake.llm.common import drop, stored, table
 from tenderlake.llm.decontaminate import decontaminated
 from tenderlake.llm.near_dedup import one_of_each
 from tenderlake.llm.sentencepiece_codec import encoded
@@ -27,13 +27,13 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without passages of 13 words or more that an earlier document has."""
+    """Texts without passages of 13 words or more that an earlier document has; all else in them stays."""
     kept = without_repeats(docs)
     return kept.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that are not contaminated by benchmark items."""
+    """Documents without any window of a benchmark item."""
     return decontaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
@@ -55,7 +55,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs, path = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
-        docs, _ = stored(stage(spark, docs, sf_dir), f"stage-{name}")
+        docs, made = stored(stage(spark, docs, sf_dir), f"stage-{name}")
+        if path:
+            drop(spark, path)
+        path = made
     return STAGES[-1][1](spark, docs, sf_dir)
