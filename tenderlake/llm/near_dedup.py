@@ -18,10 +18,16 @@ document's total, so only those up to the time when all components are settled a
 4. Classes of the links; buckets whose members are of one class are done. For the rest,
    see open_pairs.
 
+Nodes of the graph are distinct texts, named by the smallest key that has the text. Where
+keys repeat, a key's first text (by hash) has its name; every further text of it, and a
+text that has null keys only, is named by a number above 2**62 made of its hash.
+
 Defined results: null and empty texts are equal texts and make one class; a text without
-words is linked to equal texts only; rows that repeat are members of one class; a null
-key is grouped like others but is never a class id while its class has another key;
-an empty table gives an empty one. Other columns are not read.
+words is linked to equal texts only; rows that repeat are members of one class; a key with
+several texts is a member of the class of each; a class id is the smallest name in its
+class, so a class whose texts all have made names has such a number as its id; an empty
+table gives an empty one. Keys are integers (others are cast, and null if they can't be);
+texts of any length are compared whole. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -30,9 +36,9 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from .common import ALNUM, U64, Texts, fields, gram_hashes, mix, slices, small_batches, stored
+from .common import ALNUM, U64, Texts, drop, fields, gram_hashes, join_counted, mix, slices, stored
 from .components import components
 
 SHINGLE = 5
@@ -136,17 +142,33 @@ def _points(seed: np.ndarray, owner: np.ndarray, width: np.ndarray, floor: np.nd
     return np.concatenate(slots), np.concatenate(times), np.concatenate(ids)
 
 
+#: Texts whose signatures a task remembers, so that a text's copies in it are signed once.
+REMEMBERED = 50_000
+
+
 def _signatures(text: str, bands: int, rows: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[bytes] = set()
         for whole in batches:
             for batch in slices(whole, text):
-                texts = Texts(batch.column(batch.schema.get_field_index(text)))
+                # the bands of a text go out once, and null for its further copies
+                fps = batch.column(1).to_pylist()
+                new = []
+                for i, fp in enumerate(fps):
+                    if fp not in seen:
+                        seen.add(fp)
+                        new.append(i)
+                if len(seen) > REMEMBERED:
+                    seen.clear()
+                texts = Texts(batch.column(batch.schema.get_field_index(text)).take(pa.array(new, pa.int64())))
                 doc, element, weight = shingle_counts(texts)
                 signature = bag_minhash(doc, element, weight, len(texts), bands * rows)
                 some = np.bincount(doc, minlength=len(texts)) > 0
                 # rows of a band are mixed into one 64-bit key
                 keys = gram_hashes(np.ascontiguousarray(signature).reshape(-1).astype(np.uint64), rows)[::rows].reshape(len(texts), bands) if len(texts) else np.zeros((0, bands), np.uint64)
-                packed = [k.tobytes() if s else b"" for k, s in zip(keys, some)]
+                packed: list[bytes | None] = [None] * len(fps)
+                for i, k, s in zip(new, keys, some):
+                    packed[i] = k.tobytes() if s else b""
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(packed, pa.binary())], ["id", "fp", "bands"])
 
     return run
@@ -183,7 +205,7 @@ def overlaps(a: Texts, b: Texts) -> tuple[np.ndarray, np.ndarray]:
 def _verify(threshold: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in slices(whole, "text_b"):
+            for batch in (b for a in slices(whole, "text_b") for b in slices(a, "text_a")):
                 low, high = overlaps(Texts(batch.column(batch.schema.get_field_index("text_a"))), Texts(batch.column(batch.schema.get_field_index("text_b"))))
                 near = pa.array((high > 0) & (low >= threshold * high - 1e-9))
                 yield batch.select(["a", "b"]).filter(near)
@@ -195,36 +217,54 @@ EDGES = T.StructType(fields(a="long", b="long"))
 
 
 def linked(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
-    """The pairs (a, b) whose texts overlap enough. Rows hold two texts, so batches are short."""
-    small_batches(pairs.sparkSession, 100)
+    """The pairs (a, b) whose texts overlap enough."""
     left = texts.select(F.col("id").alias("a"), F.col("text").alias("text_a"))
     right = texts.select(F.col("id").alias("b"), F.col("text").alias("text_b"))
-    return pairs.join(right, "b").join(left, "a").select("a", "b", "text_a", "text_b").mapInArrow(_verify(threshold), EDGES)
+    counts = pairs.groupBy("a").agg(F.count(F.lit(1)).alias("_n"))
+    return join_counted(pairs.join(right, "b"), left, ["a"], counts, "_n").select("a", "b", "text_a", "text_b").mapInArrow(_verify(threshold), EDGES)
+
 
+def _named(fp: Column) -> Column:
+    return F.lit(1 << 62) + F.shiftrightunsigned(F.xxhash64(fp), 3)
 
-def representatives(docs: DataFrame, key: str, text: str) -> tuple[DataFrame, DataFrame]:
-    """(id, fp, text) of all rows, and (id, fp, n, bands) of one representative of each text."""
+
+def _whole(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """(id, fp, text) of all rows; id is null where the key is."""
     whole = docs.select(F.col(key).cast("long").alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    whole = whole.select("id", F.unhex(F.md5("text")).alias("fp"), "text")
-    # texts whose rows all have null keys get ids far above
-    far = F.lit(1 << 62) + F.shiftrightunsigned(F.xxhash64("fp"), 3)
-    signed = whole.mapInArrow(_signatures("text", BANDS, ROWS), T.StructType(fields(id="long", fp="binary", bands="binary")))
-    reps = signed.groupBy("fp").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("n"), F.first("bands").alias("bands"))
-    return whole.withColumn("id", F.coalesce("id", far)), reps.withColumn("id", F.coalesce("id", far))
+    return whole.select("id", F.unhex(F.md5("text")).alias("fp"), "text")
+
+
+def representatives(docs: DataFrame, key: str, text: str) -> tuple[DataFrame, str]:
+    """(id, fp, n, bands, node) of each distinct text: its smallest key, hash, rows, bands and name; and where it is stored."""
+    signed = _whole(docs, key, text).mapInArrow(_signatures("text", BANDS, ROWS), T.StructType(fields(id="long", fp="binary", bands="binary")))
+    reps = signed.groupBy("fp").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("n"), F.first("bands", ignorenulls=True).alias("bands"))
+    reps, path = stored(reps.withColumn("node", F.coalesce("id", _named(F.col("fp")))), "representatives")
+    again = reps.groupBy("node").agg(F.min("fp").alias("_first"), F.count(F.lit(1)).alias("_m")).where("_m > 1")
+    if again.limit(1).count():
+        again, again_path = stored(again, "repeated-keys")
+        counted = reps.groupBy("node").agg(F.count(F.lit(1)).alias("_m")).where("_m = 1").select("node", "_m", F.lit(None).cast("binary").alias("_first"))
+        named = again.select("node", "_m", "_first").unionByName(counted)
+        named = join_counted(reps, named, ["node"], named, "_m")
+        named = named.withColumn("node", F.when(F.col("_first").isNull() | (F.col("_first") == F.col("fp")), F.col("node")).otherwise(_named(F.col("fp"))))
+        old = path
+        reps, path = stored(named.select("id", "fp", "n", "bands", "node"), "representatives")
+        drop(docs.sparkSession, old, again_path)
+    return reps, path
 
 
 def star_pairs(members: DataFrame) -> DataFrame:
     """(a, b) of each bucket's centre and every other member; members: (band, bucket, id, m), m of the bucket."""
     popular = members.groupBy("id").agg(F.sum("m").alias("popular"))
-    ranked = members.join(popular, "id").select("band", "bucket", "id", F.struct("popular", (-F.col("id")).alias("less")).alias("place"))
-    centres = ranked.groupBy("band", "bucket").agg(F.max("place").alias("top")).select("band", "bucket", (-F.col("top.less")).alias("a"))
-    return ranked.join(centres, ["band", "bucket"]).where("a <> id").select("a", F.col("id").alias("b")).distinct()
+    ranked = members.join(popular, "id").select("band", "bucket", "id", "m", F.struct("popular", (-F.col("id")).alias("less")).alias("place"))
+    centres = ranked.groupBy("band", "bucket").agg(F.max("place").alias("top"), F.count(F.lit(1)).alias("_m")).select("band", "bucket", "_m", (-F.col("top.less")).alias("a"))
+    pairs, _ = stored(join_counted(ranked, centres, ["band", "bucket"], centres, "_m").where("a <> id").select("a", F.col("id").alias("b")).distinct(), "pairs")
+    return pairs
 
 
 #: Components of the sharper signature for pairs that stars left open, in 8 bits each.
 SHARP = 1024
 #: Members of a block; larger buckets are compared block by block in tasks of their own.
-BLOCK = 2000
+BLOCK = 500
 
 
 def _sharp(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -248,15 +288,17 @@ def _compare(least: int):
             i, j, band = (rows.column(c)[0].as_py() for c in ("i", "j", "band"))
             keys = np.frombuffer(b"".join(rows.column("keys").to_pylist()), np.uint64).reshape(len(ids), -1)
             sharp = np.frombuffer(b"".join(rows.column("sharp").to_pylist()), np.uint8).reshape(len(ids), -1)
-            order = np.argsort(block, kind="stable")
+            # the smaller of two blocks is walked through
+            order = np.argsort((block == (i if (block == i).sum() > (block == j).sum() else j)) if i != j else block, kind="stable")
             ids, part, keys, sharp, block = ids[order], part[order], keys[order], sharp[order], block[order]
-            cut = len(ids) if i == j else int(np.searchsorted(block, j))
+            cut = len(ids) if i == j else int((block == block[0]).sum())
             for x in range(cut):
                 low = x + 1 if i == j else cut
                 other = np.flatnonzero(part[low:] != part[x]) + low
-                other = other[(sharp[other] == sharp[x]).sum(axis=1) >= least] if len(other) else other
                 # a pair belongs to the first band that it shares
                 other = other[(keys[other] == keys[x]).argmax(axis=1) == band] if len(other) else other
+                near = [other[k : k + 4096][(sharp[other[k : k + 4096]] == sharp[x]).sum(axis=1) >= least] for k in range(0, len(other), 4096)]
+                other = np.concatenate(near) if near else other
                 a.append(np.minimum(ids[other], ids[x]))
                 b.append(np.maximum(ids[other], ids[x]))
         return pa.table({"a": np.concatenate(a) if a else np.zeros(0, np.int64), "b": np.concatenate(b) if b else np.zeros(0, np.int64)})
@@ -268,72 +310,92 @@ def open_pairs(members: DataFrame, classes: DataFrame, texts: DataFrame, thresho
     """Pairs of different classes that share a bucket and may be linked, or None where no bucket has two classes.
 
     Sharper signatures of the members are compared inside the tasks; a pair leaves a task
-    only if their agreement is within four standard deviations of the threshold. A bucket
-    above BLOCK members is cut into blocks, and each pair of blocks is a task's group, so
-    no task holds a bucket and none is cut short.
+    only if their agreement is within four standard deviations of the threshold. In each
+    bucket the members of its largest class need only meet the rest: those and the rest
+    are cut into blocks of about BLOCK members, and a task's group is a block of the rest
+    with another block. Rows that are sent grow with the bucket times the blocks of its
+    rest, so with the square only of members that no link has joined yet.
     """
+    spark = members.sparkSession
     placed = members.join(classes.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
-    several = placed.groupBy("band", "bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("band", "bucket")
-    found, path = stored(placed.join(several, ["band", "bucket"]), "open")
+    kinds = placed.groupBy("band", "bucket", "component").agg(F.count(F.lit(1)).alias("_c"))
+    several = kinds.groupBy("band", "bucket").agg(F.max(F.struct("_c", (-F.col("component")).alias("less"))).alias("_top"), F.sum("_c").alias("_m")).where("_top._c < _m")
+    several = several.select("band", "bucket", "_m", F.col("_top._c").alias("_most"), (-F.col("_top.less")).alias("_main"))
+    found, path = stored(join_counted(placed, several, ["band", "bucket"], several, "_m"), "open")
     if found.limit(1).count() == 0:
+        drop(spark, path)
         return None
     sharp = texts.join(found.select("id").distinct(), "id", "left_semi").select("id", "text").mapInArrow(_sharp, T.StructType(fields(id="long", keys="binary", sharp="binary")))
-    blocks = F.ceil(F.col("m") / BLOCK).cast("int")
-    mine = F.pmod(F.xxhash64("id", F.lit(5)), blocks).cast("int")
-    dealt = found.withColumn("block", mine).withColumn("_other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    most, rest = F.ceil(F.col("_most") / BLOCK).cast("int"), F.ceil((F.col("_m") - F.col("_most")) / BLOCK).cast("int")
+    main = F.col("component") == F.col("_main")
+    place = F.xxhash64("id", F.lit(5))
+    # blocks of the largest class have numbers below zero
+    dealt = found.withColumn("block", F.when(main, -1 - F.pmod(place, most)).otherwise(F.pmod(place, rest)).cast("int"))
+    dealt = dealt.withColumn("_other", F.explode(F.sequence(F.when(main, 0).otherwise(-most), rest - 1)))
     dealt = dealt.select("band", "bucket", "id", "component", "block", F.least("block", "_other").alias("i"), F.greatest("block", "_other").alias("j"))
     sigma = (threshold * (1 - threshold) / SHARP) ** 0.5
     least = int(np.floor(SHARP * (threshold - 4 * sigma)))
-    return dealt.join(sharp, "id").groupBy("band", "bucket", "i", "j").applyInArrow(_compare(least), EDGES)
+    pairs, _ = stored(dealt.join(sharp, "id").groupBy("band", "bucket", "i", "j").applyInArrow(_compare(least), EDGES), "pairs")
+    drop(spark, path)
+    return pairs
 
 
 def near_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = 0.8) -> tuple[DataFrame, DataFrame]:
-    """(id, fp, n, class_id) of each distinct text, and (id, fp, text) of all rows."""
-    small_batches(docs.sparkSession)
-    whole, reps = representatives(docs, key, text)
-    reps, _ = stored(reps, "representatives")
-    bands = reps.select("id", "bands").mapInArrow(_unpack, T.StructType(fields(band="int", bucket="long", id="long")))
-    shared = bands.groupBy("band", "bucket").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
-    members, _ = stored(bands.join(shared, ["band", "bucket"]), "members")
-    wanted = reps.join(members.select("id").distinct(), "id", "left_semi").select("id", "fp")
-    texts, _ = stored(whole.join(wanted, ["id", "fp"], "left_semi").select("id", "text"), "texts")
-    edges, _ = stored(linked(star_pairs(members), texts, threshold), "links")
-    small_batches(docs.sparkSession)
-    classes, _ = stored(components(edges), "classes")
+    """(id, fp, n, node, class_id) of each distinct text, and (fp, n) alone."""
+    spark = docs.sparkSession
+    reps, _ = representatives(docs, key, text)
+    bands = reps.select(F.col("node").alias("id"), "bands").mapInArrow(_unpack, T.StructType(fields(band="int", bucket="long", id="long")))
+    shared = bands.groupBy("band", "bucket").agg(F.count(F.lit(1)).alias("m"))
+    members, members_path = stored(join_counted(bands, shared, ["band", "bucket"], shared, "m").where("m > 1"), "members")
+    wanted = reps.join(members.select(F.col("id").alias("node")).distinct(), "node", "left_semi").select("id", "fp", "node")
+    texts = _whole(docs, key, text).withColumn("id", F.coalesce("id", F.lit(-1))).join(wanted.withColumn("id", F.coalesce("id", F.lit(-1))), ["id", "fp"]).select(F.col("node").alias("id"), "text")
+    if _keys_repeat(docs, key):
+        texts = texts.dropDuplicates(["id"])
+    texts, texts_path = stored(texts, "texts")
+    edges, edges_path = stored(linked(star_pairs(members), texts, threshold), "links", 100)
+    classes, classes_path = stored(components(edges), "classes")
+    drop(spark, edges_path)
     more = open_pairs(members, classes, texts, threshold)
     if more is not None:
-        extra, _ = stored(linked(more, texts, threshold), "links")
-        small_batches(docs.sparkSession)
+        extra, extra_path = stored(linked(more, texts, threshold), "links", 100)
         if extra.limit(1).count():
             # each class shrinks to its id: links between classes join classes
             named = lambda side: extra.join(classes.select(F.col("node").alias(side), F.col("component").alias(f"c{side}")), side, "left").select(*[c for c in extra.columns if c != side], F.coalesce(f"c{side}", side).alias(side))
             extra = named("a")
             extra = named("b")
-            merged, _ = stored(components(extra), "classes")
+            merged, merged_path = stored(components(extra), "classes")
             merged = merged.withColumnsRenamed({"node": "old", "component": "new"})
-            known = classes.join(merged, classes["component"] == merged["old"], "left").select("node", F.coalesce("new", "component").alias("component"))
+            sizes = classes.groupBy("component").agg(F.count(F.lit(1)).alias("_n"))
+            moves = sizes.join(merged.withColumnRenamed("old", "component"), "component", "left")
+            known = join_counted(classes, moves, ["component"], moves, "_n").select("node", F.coalesce("new", "component").alias("component"))
             classes, _ = stored(known.unionByName(merged.select(F.col("old").alias("node"), F.col("new").alias("component"))).distinct(), "classes")
-    out = reps.join(classes.withColumnRenamed("node", "id"), "id", "left").select("id", "fp", "n", F.coalesce("component", "id").alias("class_id"))
-    return out, whole
+            drop(spark, classes_path, merged_path)
+        drop(spark, extra_path)
+    drop(spark, members_path, texts_path)
+    return reps.join(classes, "node", "left").select("id", "fp", "n", "node", F.coalesce("component", "node").alias("class_id")), reps.select("fp", "n")
+
+
+def _keys_repeat(docs: DataFrame, key: str) -> bool:
+    """Whether a key has several rows, or is null: only then is it worth a shuffle to look for equal rows."""
+    return docs.groupBy(F.col(key)).count().where((F.col("count") > 1) | F.col(key).isNull()).limit(1).count() > 0
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = 0.8) -> DataFrame:
-    """Per document: key, class_id (the smallest key of its class), copies (rows of equal text), kept (it is that key)."""
-    classes, whole = near_classes(docs, key, text, threshold)
+    """Per document: key, class_id, copies (rows of equal text), kept (the key and text that stand for the class; rows that repeat wholly are all marked)."""
+    classes, counts = near_classes(docs, key, text, threshold)
     rows = docs.select(F.col(key), F.unhex(F.md5(F.coalesce(F.col(text), F.lit("")))).alias("fp"))
-    found = rows.join(classes.select("fp", "n", "class_id"), "fp")
-    return found.select(F.col(key), "class_id", F.col("n").alias("copies"), F.coalesce(F.col(key).cast("long") == F.col("class_id"), F.lit(False)).alias("kept"))
+    found = join_counted(rows, classes, ["fp"], counts, "n")
+    kept = (F.col("node") == F.col("class_id")) & F.col(key).cast("long").eqNullSafe(F.col("id"))
+    return found.select(F.col(key), "class_id", F.col("n").alias("copies"), kept.alias("kept"))
 
 
 def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = 0.8) -> DataFrame:
     """One document of each class, with all its columns."""
     classes, _ = near_classes(docs, key, text, threshold)
-    kept = classes.where("id = class_id").groupBy("class_id").agg(F.min("fp").alias("_tl_fp")).select("_tl_fp")
-    far = F.lit(1 << 62)
-    marked = docs.withColumn("_tl_fp", F.unhex(F.md5(F.coalesce(F.col(text), F.lit("")))))
-    best = classes.where("id = class_id").select(F.col("fp").alias("_tl_fp"), F.when(F.col("id") < far, F.col("id")).alias("_tl_id"))
-    rows = marked.join(best.join(kept, "_tl_fp", "left_semi"), "_tl_fp").where(F.col("_tl_id").isNull() | (F.col(key).cast("long") == F.col("_tl_id")))
-    # keys that repeat, or are null, can leave equal rows: only then is it worth a shuffle
-    if docs.groupBy(key).count().where((F.col("count") > 1) | F.col(key).isNull()).limit(1).count():
+    best = classes.where("node = class_id").select(F.col("id").alias("_tl_id"), F.col("fp").alias("_tl_fp"))
+    marked = docs.withColumns({"_tl_fp": F.unhex(F.md5(F.coalesce(F.col(text), F.lit("")))), "_tl_id": F.col(key).cast("long")})
+    # keys and texts together name few rows each, unless rows repeat wholly
+    rows = marked.alias("l").join(best.alias("r"), (F.col("l._tl_fp") == F.col("r._tl_fp")) & F.col("l._tl_id").eqNullSafe(F.col("r._tl_id")), "left_semi")
+    if _keys_repeat(docs, key):
         rows = rows.dropDuplicates(["_tl_fp"])
     return rows.select(*[F.col(c) for c in docs.columns])
