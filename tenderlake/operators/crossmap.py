@@ -23,7 +23,7 @@ def candidates(rows: DataFrame, block: int = POOL_BLOCK) -> DataFrame:
     factors has all factors of a row, and is null where it meets every factor.
     L meets M, M meets L, C meets both. Instructions and criteria are the query set: they
     are cut into blocks, and every row meets every block of its counterparts, so all tests
-    are made and no task holds a whole bucket.
+    are made; a task holds one block of a pool at a time.
     """
     pool = rows.where("bucket in ('L', 'M')")
     parts = max(1, -(-pool.count() // block))
@@ -61,6 +61,7 @@ def cross_map(requirements: DataFrame, factors: DataFrame | None = None, thresho
     n = F.size(ids)
     kind = F.when(n > 0, "mapped").when(F.col("bucket") == "L", "l_without_m").when((F.col("bucket") == "M") & F.col("factor").isNull(), "evaluation_process").when(F.col("bucket") == "M", "m_without_l").otherwise("sow_without_either")
     matched = lambda what: F.concat(F.lit("matched "), n.cast("string"), F.lit(what))
+    # The rationale of each kind.
     why = (
         F.when((n > 0) & (F.col("bucket") == "L"), matched(" Section M criterion/criteria"))
         .when((n > 0) & (F.col("bucket") == "M"), matched(" Section L instruction(s)"))

@@ -108,5 +108,6 @@ def unverified_pages(ranges: DataFrame, golds: DataFrame, preds: DataFrame) -> D
 
 def score_line(row) -> str:
     """One line of text about a row of score."""
+    # Fixed value: the wording of the line.
     more = f"; {row.out_of_scope} prediction(s) on unannotated pages, not scored" if row.out_of_scope else ""
     return f"vs golden set: precision={row.precision:.3f}, recall={row.recall:.3f}, F1={row.f1:.3f} ({row.matched}/{row.total_golds} golden matched, {row.total_preds} predicted in scope{more})"

@@ -481,23 +481,30 @@ _COVER = f"WITH {_HITS}, {_REQS[len(_LINES) + 2:]}, n AS (SELECT *, {_NORM.forma
 _COVER_FILE = _COVER.replace("ON n.page = h.page", "ON n.page = h.page AND n.file_id = h.file_id")
 _RECONCILED = ", first AS (SELECT requirement_id, arg_min(binding_keyword, (file_id, hit_idx)) AS swept FROM pairs GROUP BY 1) SELECT r.requirement_id, coalesce(swept, 'none') AS binding_keyword FROM reqs r LEFT JOIN first USING (requirement_id)"
 _MISSED = " SELECT h.file_id, h.page, h.hit_idx, h.binding_keyword FROM hits h ANTI JOIN pairs p ON h.file_id = p.file_id AND h.page = p.page AND h.hit_idx = p.hit_idx"
+_NO_CRITERIA = "FROM reqs WHERE req_type <> 'evaluation'), pairs"
 _OVER = " SELECT requirement_id FROM reqs ANTI JOIN pairs USING (requirement_id)"
 
 
-def _reconciled(spark: SparkSession, sf_dir: str, match_file: bool = False) -> tuple[DataFrame, DataFrame]:
-    updated, missed = sweep.reconcile(ad.solicitation_requirements(spark, sf_dir), q_sweep_hits(spark, sf_dir), match_file)
-    return updated.select("requirement_id", "binding_keyword"), missed.select("file_id", "page", "hit_idx", "binding_keyword")
+def _reconciled(spark: SparkSession, sf_dir: str, match_file: bool = False) -> DataFrame:
+    updated, _ = sweep.reconcile(ad.solicitation_requirements(spark, sf_dir), q_sweep_hits(spark, sf_dir), match_file)
+    return updated.select("requirement_id", "binding_keyword")
 
 
 @register("q_reconcile", _COVER + _RECONCILED)
 def q_reconcile(spark: SparkSession, sf_dir: str) -> DataFrame:
     """By the page alone, over all files: the default."""
-    return _reconciled(spark, sf_dir)[0]
+    return _reconciled(spark, sf_dir)
 
 
-@register("q_missed", _COVER + _MISSED)
+def _missed(spark: SparkSession, sf_dir: str, match_file: bool = False) -> DataFrame:
+    """Without criteria among the requirements: what those would cover is missed."""
+    reqs = ad.solicitation_requirements(spark, sf_dir).where("req_type <> 'evaluation'")
+    return sweep.reconcile(reqs, q_sweep_hits(spark, sf_dir), match_file)[1].select("file_id", "page", "hit_idx", "binding_keyword")
+
+
+@register("q_missed", _COVER.replace("FROM reqs), pairs", _NO_CRITERIA) + _MISSED)
 def q_missed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _reconciled(spark, sf_dir)[1]
+    return _missed(spark, sf_dir)
 
 
 @register("q_over_extracted", _COVER + _OVER)
@@ -510,12 +517,12 @@ def q_over_extracted(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("q_reconcile_file", _COVER_FILE + _RECONCILED)
 def q_reconcile_file(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _reconciled(spark, sf_dir, True)[0]
+    return _reconciled(spark, sf_dir, True)
 
 
-@register("q_missed_file", _COVER_FILE + _MISSED)
+@register("q_missed_file", _COVER_FILE.replace("FROM reqs), pairs", _NO_CRITERIA) + _MISSED)
 def q_missed_file(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _reconciled(spark, sf_dir, True)[1]
+    return _missed(spark, sf_dir, True)
 
 
 @register("q_over_extracted_file", _COVER_FILE + _OVER)
