@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import heapq
+
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.fuzzy import token_set_similarity
@@ -12,15 +15,80 @@ THRESHOLD = 90.0
 KEYWORDS = ("shall", "must", "will", "should", "shall not", "none")
 
 
+def _classes(rows: DataFrame, name: str) -> DataFrame:
+    """(file_id, page, _<name>, <name>_ords): rows of one page and text, by their ordinals."""
+    folded = rows.where("file_id is not null and page is not null").select(f"{name}_ord", "file_id", "page", normalize(F.col("verbatim_text")).alias(f"_{name}"))
+    return folded.groupBy("file_id", "page", f"_{name}").agg(F.sort_array(F.collect_list(f"{name}_ord")).alias(f"{name}_ords"))
+
+
+def _alike(p: DataFrame, g: DataFrame, threshold: float, similarity) -> DataFrame:
+    """(file_id, page, _pred, _gold, sim) of texts on one page that are similar enough; a pair of texts is compared once for all pages."""
+    met = p.select("file_id", "page", "_pred").join(g.select("file_id", "page", "_gold"), ["file_id", "page"])
+    sims = met.select("_pred", "_gold").distinct().withColumn("sim", similarity(F.col("_pred"), F.col("_gold"))).where(F.col("sim") >= threshold)
+    return met.join(sims, ["_pred", "_gold"])
+
+
 def match_pairs(preds: DataFrame, golds: DataFrame, threshold: float = THRESHOLD, similarity=token_set_similarity) -> DataFrame:
     """(pred_ord, gold_ord, file_id, page, sim) of pairs on one page of one file that are similar enough.
 
     preds and golds (pred_ord or gold_ord, file_id, page, verbatim_text); a row without a page matches nothing.
     """
-    p = preds.select("pred_ord", "file_id", "page", normalize(F.col("verbatim_text")).alias("_p"))
-    g = golds.select("gold_ord", "file_id", "page", normalize(F.col("verbatim_text")).alias("_g"))
-    pairs = p.join(g, ["file_id", "page"]).withColumn("sim", similarity(F.col("_p"), F.col("_g")))
-    return pairs.where(F.col("sim") >= threshold).select("pred_ord", "gold_ord", "file_id", "page", "sim")
+    p, g = _classes(preds, "pred"), _classes(golds, "gold")
+    pairs = _alike(p, g, threshold, similarity).join(p, ["file_id", "page", "_pred"]).join(g, ["file_id", "page", "_gold"])
+    ones = pairs.select(F.explode("pred_ords").alias("pred_ord"), "gold_ords", "file_id", "page", "sim")
+    return ones.select("pred_ord", F.explode("gold_ords").alias("gold_ord"), "file_id", "page", "sim")
+
+
+def _pick(pairs: list[tuple[int, int, float]], preds: dict[int, list[int]], golds: dict[int, list[int]]) -> list[tuple[int, int, float]]:
+    """Greedy matches by (most similar, first prediction, first golden row) from pairs of classes; ordinals are taken from the lists."""
+    levels: dict[float, dict[int, list[int]]] = {}
+    for p, g, sim in pairs:
+        levels.setdefault(sim, {}).setdefault(p, []).append(g)
+    free = {k: list(reversed(v)) for k, v in golds.items()}
+    kept = []
+    for sim in sorted(levels, reverse=True):
+        met = levels[sim]
+        queue = [(v[0], p, 0) for p in met if (v := preds[p])]
+        heapq.heapify(queue)
+        gone: dict[int, set[int]] = {}
+        while queue:
+            ord_, p, at = queue[0]
+            met[p] = [g for g in met[p] if free[g]]
+            if not met[p]:
+                # no golden row is left for this text, nor for what follows it
+                heapq.heappop(queue)
+                continue
+            g = min(met[p], key=lambda k: free[k][-1])
+            kept.append((ord_, free[g].pop(), sim))
+            gone.setdefault(p, set()).add(ord_)
+            if at + 1 < len(preds[p]):
+                heapq.heapreplace(queue, (preds[p][at + 1], p, at + 1))
+            else:
+                heapq.heappop(queue)
+        for p, out in gone.items():
+            preds[p] = [x for x in preds[p] if x not in out]
+    return kept
+
+
+_PICKED = pa.schema([("pred_ord", pa.int64()), ("gold_ord", pa.int64()), ("sim", pa.float64())])
+
+
+def _pick_page(pairs: pa.Table, members: pa.Table) -> pa.Table:
+    sides: tuple[dict, dict] = ({}, {})
+    for gold, key, ords in zip(*(members.column(c).to_pylist() for c in ("_is_gold", "_key", "_ords"))):
+        sides[gold][key] = ords
+    kept = _pick(list(zip(*(pairs.column(c).to_pylist() for c in ("_p", "_g", "sim")))), *sides)
+    return pa.Table.from_arrays([pa.array([k[i] for k in kept], f.type) for i, f in enumerate(_PICKED)], schema=_PICKED)
+
+
+def matches(preds: DataFrame, golds: DataFrame, threshold: float = THRESHOLD, similarity=token_set_similarity) -> DataFrame:
+    """(pred_ord, gold_ord, sim): as assign of match_pairs, from pairs of texts on a page, so that equal rows aren't paired with each other."""
+    p, g = _classes(preds, "pred"), _classes(golds, "gold")
+    named = lambda rows, name: rows.select("file_id", "page", f"_{name}", F.get(f"{name}_ords", F.lit(0)).cast("long").alias(f"_{name[0]}"))
+    pairs = _alike(p, g, threshold, similarity).join(named(p, "pred"), ["file_id", "page", "_pred"]).join(named(g, "gold"), ["file_id", "page", "_gold"]).select("file_id", "page", "_p", "_g", "sim")
+    member = lambda rows, name, gold: rows.select(F.col("file_id").alias("_file"), F.col("page").alias("_page"), F.lit(gold).alias("_is_gold"), F.get(f"{name}_ords", F.lit(0)).cast("long").alias("_key"), F.col(f"{name}_ords").cast("array<long>").alias("_ords"))
+    members = member(p, "pred", 0).unionByName(member(g, "gold", 1))
+    return pairs.groupBy("file_id", "page").cogroup(members.groupBy("_file", "_page")).applyInArrow(_pick_page, "pred_ord long, gold_ord long, sim double")
 
 
 def _greedy(rows: pd.DataFrame) -> pd.DataFrame:
@@ -61,7 +129,7 @@ def rates(matched: Column, preds: Column, golds: Column) -> dict[str, Column]:
 def score(preds: DataFrame, golds: DataFrame, threshold: float = THRESHOLD, scoped: bool = True, similarity=token_set_similarity) -> DataFrame:
     """One row: precision, recall, f1, matched, total_preds, total_golds, out_of_scope."""
     inside = in_footprint(preds, golds) if scoped else preds
-    matched = assign(match_pairs(inside, golds, threshold, similarity))
+    matched = matches(inside, golds, threshold, similarity)
     n = lambda df, name: df.agg(F.count(F.lit(1)).alias(name))
     one = n(matched, "matched").join(n(inside, "total_preds")).join(n(golds, "total_golds")).join(n(preds, "_all"))
     one = one.withColumn("out_of_scope", F.col("_all") - F.col("total_preds")).drop("_all")
@@ -71,7 +139,7 @@ def score(preds: DataFrame, golds: DataFrame, threshold: float = THRESHOLD, scop
 def unmatched(preds: DataFrame, golds: DataFrame, threshold: float = THRESHOLD, scoped: bool = True, similarity=token_set_similarity) -> tuple[DataFrame, DataFrame]:
     """(predictions, golden rows) that found no partner."""
     inside = in_footprint(preds, golds) if scoped else preds
-    matched = assign(match_pairs(inside, golds, threshold, similarity))
+    matched = matches(inside, golds, threshold, similarity)
     return inside.join(matched, "pred_ord", "left_anti"), golds.join(matched, "gold_ord", "left_anti")
 
 
